@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,6 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A materialized table as a frame of its own, for joins with what came from it."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._scratch)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for df in tables:
@@ -42,6 +49,26 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Let Arrow batches hold at most so many texts, so that a batch of long ones stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+    return spark
+
+
+def text_slices(batches, size: int = 1 << 21):
+    """(first column, texts as bytes) of Arrow batches, about `size` bytes at a time; a null text is empty."""
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).fill_null(b"")
+        total = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
+            yield batch.column(0).slice(at, to - at).to_pylist(), texts.slice(at, to - at).to_pylist()
+            at = to
+
+
 # ---- hashing of words and word windows, vectorised over a batch of texts
 
 U = np.uint64

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgate.llm._shared import LOWER, STEPS, WHITE, U, WordHasher, discard, groups, materialize, mix, window_hashes
+from memgate.llm._shared import LOWER, STEPS, WHITE, U, WordHasher, discard, groups, materialize, mix, reread, small_batches, text_slices, window_hashes
 
 N = 5
 #: Bits of the Bloom filter of hot shingles and of the filter of needed sets: 2 MB each, whatever the input.
@@ -131,8 +131,6 @@ def unpack(pdf: pd.DataFrame, *types) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(pdf[c]), t) for c, t in zip(pdf.columns[1:], types)]
 
 
-def texts_of(batch) -> tuple[list, list[bytes]]:
-    return batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
 def flush_at(sets: list) -> bool:
@@ -150,15 +148,14 @@ def first_pass(tiles: int):
             b = dealt(tiles, keys, n.astype(np.int32))
             k = b.num_rows
             empty = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, *b.columns], ["doc_id", "n", "set_id", "tile", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(k, pa.binary()), *b.columns], ["doc_id", "n", "set_id", "sig", "tile", "keys", "counts"])
 
-        for batch in batches:
-            ids, texts = texts_of(batch)
+        for ids, texts in text_slices(batches):
             sets = shingle_sets(texts)
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
-                ["doc_id", "n", "set_id", "tile", "keys", "counts"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
+                ["doc_id", "n", "set_id", "sig", "tile", "keys", "counts"],
             )
             pend += [s[: prefix_length(len(s))] for s in sets if len(s)]
             if flush_at(pend):
@@ -192,8 +189,8 @@ def postings(tiles: int, hot):
             return dealt(tiles, keys, ids, n, heat)
 
         total = 0
-        for batch in batches:
-            sets = [s for s in shingle_sets(texts_of(batch)[1]) if len(s)]
+        for _, texts in text_slices(batches):
+            sets = [s for s in shingle_sets(texts) if len(s)]
             if not sets:
                 continue
             known = bloom_has(bits, np.concatenate(sets))
@@ -300,29 +297,33 @@ def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Bitmaps of SIG_WORDS * 64 bits: a shingle sets the bit of its hash's top bits."""
     bits = np.zeros((len(sets), SIG_WORDS * 64), bool)
+    if not sets:
+        return bits.view(U)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     bits[row, (np.concatenate(sets) >> U(64 - int(math.log2(SIG_WORDS * 64)))).astype(np.int64)] = True
     return np.packbits(bits, axis=1).view(U)
 
 
-def verified(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Links among the pairs of a tile, but those that others of the tile already imply."""
-    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    sets = sets.drop_duplicates("set_id").sort_values("set_id")
-    if not len(sets) or not len(pairs):
-        return none
-    ids = sets["set_id"].to_numpy()
-    grams = [np.frombuffer(g, U) for g in sets["grams"]]
-    size = np.array([len(g) for g in grams])
+def near_pairs(key, sigs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a tile whose overlap can reach the threshold by the bit counts of their signatures."""
+    sigs = sigs.sort_values("set_id")
+    ids, size = sigs["set_id"].to_numpy(), sigs["n"].to_numpy()
+    bits = np.frombuffer(b"".join(sigs["sig"]), U).reshape(len(ids), SIG_WORDS)
     a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
-    sig = signatures(grams)
-    keep = []
+    keep = [np.empty(0, np.int64)]
     for at in range(0, len(a), 1 << 16):
         x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
         total = size[x] + size[y]
-        most = (total - np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)) // 2  # the overlap is at most this
+        most = (total - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)) // 2  # the overlap is at most this
         keep.append(at + np.flatnonzero(100 * most >= 80 * (total - most)))
-    keep = np.concatenate(keep)
+    return pairs.iloc[np.concatenate(keep)]
+
+
+def linked_pairs(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a tile that link, by intersection of the sorted arrays; but those that others of the tile already imply."""
+    sets = sets.drop_duplicates("set_id").sort_values("set_id")
+    ids = sets["set_id"].to_numpy()
+    grams = [np.frombuffer(g, U) for g in sets["grams"]]
     root = list(range(len(ids)))
 
     def find(x):
@@ -332,49 +333,60 @@ def verified(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         return x
 
     links = []
-    for x, y in zip(a[keep].tolist(), b[keep].tolist()):
+    for x, y in zip(np.searchsorted(ids, pairs["a"].to_numpy()).tolist(), np.searchsorted(ids, pairs["b"].to_numpy()).tolist()):
         rx, ry = find(x), find(y)
         if rx == ry:
             continue
-        s, t = (grams[x], grams[y]) if size[x] <= size[y] else (grams[y], grams[x])
+        s, t = (grams[x], grams[y]) if len(grams[x]) <= len(grams[y]) else (grams[y], grams[x])
         at = np.searchsorted(t, s)
         at[at == len(t)] = 0
         both = int(np.count_nonzero(t[at] == s))
         if 100 * both >= 80 * (len(s) + len(t) - both):
             root[rx] = ry
             links.append((ids[x], ids[y]))
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64") if links else none
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def link_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def tiled(pairs: DataFrame) -> DataFrame:
+    """(tile, a, b): pairs of one neighbourhood share a tile; neighbourhoods of more than TILE_SETS classes are cut into blocks.
+
+    A class thus goes to few tiles, however many pairs it has, and no tile outgrows a few blocks."""
+    ends = pairs.select("a", "b").union(pairs.select("b", "a"))
+    node = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
+    sized = node.groupBy("label").agg(F.count("*").alias("k"))
+    cell = materialize(node.join(sized, "label").select(F.col("a").alias("id"), F.xxhash64("label", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / TILE_SETS))).alias("cell")))
+    tiles = max(1, math.ceil(2 * cell.count() / TILE_SETS))
+    x, y = cell.select(F.col("id").alias("a"), F.col("cell").alias("x")), cell.select(F.col("id").alias("b"), F.col("cell").alias("y"))
+    return materialize(pairs.join(x, "a").join(y, "b").select(F.pmod(F.xxhash64("x", "y"), F.lit(tiles)).alias("tile"), "a", "b"))
+
+
+def needed(placed: DataFrame) -> DataFrame:
+    return placed.select("tile", F.col("a").alias("set_id")).union(placed.select("tile", "b")).distinct()
+
+
+def link_pairs(docs: DataFrame, sigs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that link, exactly; enough of them to connect what is connected."""
-    spark = docs.sparkSession
-    need = materialize(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
-    n = need.count()
-    side = max(1, math.ceil(n / TILE_SETS))
-    bits = spark.sparkContext.broadcast(bloom_filter(packed_ids(need)))
+    placed = tiled(pairs)
+    at = sigs.join(needed(placed), "set_id").groupBy("tile")
+    near = materialize(at.cogroup(reread(placed).groupBy("tile")).applyInPandas(near_pairs, "tile long, a long, b long"))
+    where = materialize(needed(near).groupBy("set_id").agg(F.collect_list("tile").alias("tiles")))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(where.select("set_id"))))
 
     def sets(batches):
         seen: set[int] = set()
-        for batch in batches:
-            found = [s for s in shingle_sets(texts_of(batch)[1]) if len(s)]
+        for _, texts in text_slices(batches):
+            found = [s for s in shingle_sets(texts) if len(s)]
             ids = np.array([set_id(s) for s in found], np.int64)
             keep = [k for k in np.flatnonzero(bloom_has(bits.value, ids.view(U))).tolist() if not (ids[k] in seen or seen.add(int(ids[k])))] if len(ids) else []
             if len(seen) > 1 << 20:
                 seen.clear()
-            for at in range(0, len(keep), 500):
-                part = keep[at : at + 500]
-                yield pa.RecordBatch.from_pydict({"set_id": pa.array(ids[part]), "grams": pa.array([found[k].tobytes() for k in part], pa.binary())})
-
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    placed = pairs.withColumn("tile", cell("a") * side + cell("b"))
-    # which tiles need which class: a class goes to as many tiles as its pairs touch, never once per pair
-    where = placed.select("tile", F.col("a").alias("set_id")).union(placed.select("tile", "b")).distinct().groupBy("set_id").agg(F.collect_set("tile").alias("tiles"))
+            if keep:
+                yield pa.RecordBatch.from_pydict({"set_id": pa.array(ids[keep]), "grams": pa.array([found[k].tobytes() for k in keep], pa.binary())})
+
     grams = docs.mapInArrow(sets, "set_id long, grams binary").join(where, "set_id").select(F.explode("tiles").alias("tile"), "set_id", "grams")
-    links = grams.groupBy("tile").cogroup(placed.groupBy("tile")).applyInPandas(verified, "a long, b long")
-    out = materialize(links)
-    discard(need)
-    return out
+    links = materialize(grams.groupBy("tile").cogroup(reread(near).groupBy("tile")).applyInPandas(linked_pairs, "a long, b long"))
+    discard(placed, near, where)
+    return links
 
 
 def packed_ids(ids: DataFrame) -> DataFrame:
@@ -406,11 +418,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_df: int = 8) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tiles = max(1, math.ceil(size / 6 / 5 / TILE_POSTINGS))  # of about six bytes a word, a fifth is in the prefix
-    first = materialize(docs.mapInArrow(first_pass(tiles), "doc_id long, n long, set_id long, tile int, keys binary, counts binary"))
+    first = materialize(docs.mapInArrow(first_pass(tiles), "doc_id long, n long, set_id long, sig binary, tile int, keys binary, counts binary"))
     member = first.filter("tile IS NULL").select("doc_id", "n", "set_id")
     hot = materialize(first.filter("tile IS NOT NULL").select("tile", "keys", "counts").groupBy("tile").applyInPandas(hot_shingles, "level int, n long, keys binary"))
     level = int(math.log2(hot_df))
@@ -421,7 +433,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = docs.mapInArrow(postings(tiles, filter_), "tile int, keys binary, c0 binary, c1 binary, c2 binary")
     found = materialize(posted.groupBy("tile").applyInPandas(candidate_rows, "a long, b long, token long, n int, m int"))
     pairs = materialize(found.filter("token IS NULL").select("a", "b").distinct())
-    links = link_pairs(docs, pairs)
+    sigs = first.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    links = link_pairs(docs, sigs, pairs)
     comp = components(links)
 
     long = found.filter("token IS NOT NULL").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -432,7 +445,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = long.withColumn("tile", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * tiles)))
     open_ = materialize(long.groupBy("tile").applyInPandas(open_pairs, "a long, b long").distinct())
     if not open_.isEmpty():
-        more = link_pairs(docs, open_)
+        more = link_pairs(docs, sigs, open_)
         comp = components(links.union(more))
     discard(hot, found, pairs, open_)
 
