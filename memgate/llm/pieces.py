@@ -25,7 +25,7 @@ from memgate.llm._shared import small_batches, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(" *[^ ]+| +$")
-BYTE_SCORE = -1e7
+BYTE_SCORE = -1e12
 #: Segments of up to LONG characters are cached, CACHE of them per worker.
 CACHE, LONG = 300_000, 48
 
@@ -40,6 +40,8 @@ def vocabulary(model: str = MODEL) -> dict:
     words = {m.id_to_piece(i): (i, float(m.get_score(i))) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
     if any(MARK in p.lstrip(MARK) for p in words):
         raise ValueError("a piece has a space mark behind another character")
+    if MARK not in words:
+        raise ValueError("the space mark is no piece of its own")
     plain = [b""] * len(ids)
     for p, (i, _) in words.items():
         plain[i] = p.replace(MARK, " ").encode()
