@@ -454,3 +454,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = root.filter("n > 0")
     least = some.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return some.join(least, "comp").select("doc_id", "n", "component_id").union(own).withColumnRenamed("n", "n_shingles")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that are linked with a smaller id; of rows that repeat an id one stays. Rows with a null id stay."""
+    found = materialize(similar_classes(docs, id_col, text_col))
+    drop = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(drop, docs[id_col] == F.col("_id"), "left_anti")
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return kept
+    again = materialize(again)
+    once = kept.join(again, docs[id_col] == F.col("_id"), "left_anti")
+    return once.unionByName(kept.join(reread(again), docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col]))

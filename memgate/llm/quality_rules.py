@@ -87,3 +87,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         verdicts = F.broadcast(verdicts)
     judged = counts.join(verdicts, "host", "left")
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.8) -> DataFrame:
+    """The rows of docs that judge() keeps, all columns as they were. The text is not shuffled: the counts are taken anew, and only rejected hosts are joined."""
+    bad = materialize(host_verdicts(rule_counts(docs, id_col, text_col, host_col).select("host", "soft_failed"), host_limit).filter("host_rejected").select(F.col("host").alias("_host")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    failed = let(words_of(text), lambda w: let(F.size(w), lambda n: (n < 20) | (100 * repeat_words(w) > 30 * n)))
+    if bad.count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
+    return docs.filter(~failed).join(bad, F.col(host_col) == F.col("_host"), "left_anti")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memgate.llm import decontam, language_id, ngram_join, pieces, quality_rules, secret_scan
+from memgate.llm import decontam, language_id, licences, ngram_join, pieces, quality_rules, secret_scan, sharding, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,30 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+SHARD_BYTES = 16 << 20
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select("doc_id", "bytes", "shard", "depth", "shard_bytes", "oversize")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("rate", F.round("rate", 6))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages against a replica in which every 97th page has lost its first character to a '#'."""
+    pages = table(spark, sf_dir, "pages")
+    hurt = F.when(F.col("page_id") % 97 == 13, F.overlay("html", F.lit("#"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
+    first, second = warc.layout(pages), warc.layout(pages.withColumn("html", hurt))
+    return warc.audit(first, second).select(F.col("id").alias("page_id"), "ordinal", "start", "length", "digest", "corrupt")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,9 +59,64 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pieces, op3_language_id, op5_decontamination, op8_quality_rules, op9_secret_scan)}
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pieces, op3_language_id, op4_sharding, op5_decontamination, op6_url_filter, op7_warc_fixity, op8_quality_rules, op9_secret_scan, op10_licence_scan)}
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.TEMPLATES)
 
 ORACLES = {
+    "op4_sharding": f"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS k FROM documents),
+n AS (SELECT depth, k >> (60 - depth) AS p, sum(bytes)::BIGINT AS b FROM d, (SELECT unnest(range(0, 31))::INT AS depth) GROUP BY ALL),
+f AS (SELECT d.*, min(n.depth) AS depth FROM d, n WHERE n.p = d.k >> (60 - n.depth) AND n.b <= {SHARD_BYTES} GROUP BY ALL)
+SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(k >> (60 - f.depth)), f.depth, '0') END AS shard, f.depth, b AS shard_bytes, false AS oversize
+FROM f, n WHERE n.depth = f.depth AND n.p = f.k >> (60 - f.depth)
+""",
+    "op6_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+m AS (SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM u),
+j AS (SELECT m.*, v FROM m LEFT JOIN r ON m.rule = r.rule),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(v) AS n, count(CASE WHEN v = 'block' THEN 1 END) AS x FROM j GROUP BY host),
+t AS (SELECT coalesce(sum(x) / nullif(sum(n), 0)::DOUBLE, 0) AS p0 FROM h),
+s0 AS (SELECT suffix, p0, sum(n) AS n, sum(x) AS x FROM h, t GROUP BY ALL),
+s1 AS (SELECT (sum((x - n * p0) ** 2) - sum(n * p0 * (1 - p0))) / nullif(sum(n * (n - 1) * p0 * (1 - p0)), 0) AS rho FROM s0),
+s2 AS (SELECT coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0)::DOUBLE AS w FROM s1),
+s AS (SELECT suffix, (x + p0 * w) / (n + w) AS ps FROM s0, s2),
+d0 AS (SELECT domain, ps, sum(n) AS n, sum(x) AS x FROM h JOIN s USING (suffix) GROUP BY ALL),
+d1 AS (SELECT (sum((x - n * ps) ** 2) - sum(n * ps * (1 - ps))) / nullif(sum(n * (n - 1) * ps * (1 - ps)), 0) AS rho FROM d0),
+d2 AS (SELECT coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0)::DOUBLE AS w FROM d1),
+d AS (SELECT domain, (x + ps * w) / (n + w) AS pd FROM d0, d2),
+h0 AS (SELECT host, pd, n, x FROM h JOIN d USING (domain)),
+h1 AS (SELECT (sum((x - n * pd) ** 2) - sum(n * pd * (1 - pd))) / nullif(sum(n * (n - 1) * pd * (1 - pd)), 0) AS rho FROM h0),
+h2 AS (SELECT coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END, 1000.0)::DOUBLE AS w FROM h1),
+q AS (SELECT host, (x + pd * w) / (n + w) AS ph, n + w AS size FROM h0, h2)
+SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN ph - 2 * sqrt(ph * (1 - ph) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(ph, 6) AS rate
+FROM j JOIN q ON j.host = q.host
+""",
+    "op7_warc_fixity": r"""
+WITH r AS (SELECT page_id, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
+s AS (SELECT page_id, html, sha256(rec) AS digest, strlen(rec)::BIGINT AS length FROM r)
+SELECT page_id, row_number() OVER w - 1 AS ordinal, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS start, length, digest,
+    coalesce(page_id % 97 = 13 AND html <> '' AND html[1] <> '#', false) AS corrupt FROM s WINDOW w AS (ORDER BY page_id, digest)
+""",
+    "op10_licence_scan": rf"""
+WITH l(licence, t) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT licence, t, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM l),
+tg AS (SELECT licence, t, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
+d AS (SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)), list_filter(string_split_regex(coalesce(text, ''), '\n[\x20\x09\r]*\n'), lambda s: contains(trim(s), chr(10)))) AS us FROM documents),
+u AS (SELECT doc_id, i, regexp_extract_all(translate(us[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS i FROM d)),
+b AS (SELECT doc_id, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM u WHERE len(w) BETWEEN 2 AND 300),
+c AS (SELECT doc_id, i, licence, 2.0::DOUBLE * len(list_intersect(b.g, tg.g)) / (len(b.g) + len(tg.g)) AS dice FROM b, tg WHERE list_has_any(b.g, tg.g)),
+e AS (SELECT doc_id, i, licence, dice FROM c WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, licence) = 1)
+SELECT doc_id, licence, count(*) AS n_units, round(max(dice), 6) AS dice FROM e GROUP BY doc_id, licence
+""",
     "op8_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
