@@ -267,13 +267,14 @@ def candidate_rows(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the blocks of some long lists: pairs of near size in different components."""
+    """Of the blocks of some long lists: pairs of near size in different components whose signatures allow a link."""
     found, done = [np.empty((0, 2), np.int64)], set()
     for _, g in pdf.groupby(["token", "i", "j"], sort=False):
         if g["comp"].nunique() < 2:
             continue
         g = g.sort_values(["n", "a"])
         a, n, comp, block = (g[c].to_numpy() for c in ("a", "n", "comp", "block"))
+        bits = np.frombuffer(b"".join(g["sig"]), U).reshape(len(a), SIG_WORDS)
         if (same := hash((a.tobytes(), block.tobytes()))) in done:
             continue
         done.add(same)
@@ -284,8 +285,11 @@ def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
             ok = comp[other] != comp[k]
             if two:
                 ok &= block[other] != block[k]
-            if ok.any():
-                b = a[other][ok]
+            at = k + 1 + np.flatnonzero(ok)
+            if len(at):
+                total = n[at].astype(np.int64) + n[k]
+                most = (total - np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)) // 2
+                b = a[at[100 * most >= 80 * (total - most)]]
                 found.append(np.stack((np.minimum(b, a[k]), np.maximum(b, a[k])), axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -441,7 +445,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = long.join(comp.select(F.col("id").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     mixed = long.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("token")
     long = long.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
-    long = long.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("token", "a", "n", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    long = long.join(sigs.select(F.col("set_id").alias("a"), "sig"), "a")
+    long = long.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("token", "a", "n", "comp", "block", "sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     long = long.withColumn("tile", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * tiles)))
     open_ = materialize(long.groupBy("tile").applyInPandas(open_pairs, "a long, b long").distinct())
     if not open_.isEmpty():
