@@ -1,4 +1,432 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Both derive the same records and probes from the plain tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from memgate.functions import fingerprint, text
+from memgate.operators import evaluation, gates, retrieve, store, usage, views
+from memgate.plans import corpus
+from memgate.plans.corpus import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- SQL of the derived tables
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _terms(x: str) -> str:
+    return f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({_FOLD.format(x)}, '[a-z0-9._:/@-]+'), lambda t: trim(t, '.-_:/@')), lambda t: length(t) >= 3)))"
+
+
+def _features(t: str) -> str:
+    return f"list_concat({t}, list_transform(range(1, len({t})), lambda i: array_to_string({t}[i:i+1], ' ')), list_transform(range(1, len({t}) - 1), lambda i: array_to_string({t}[i:i+2], ' ')))"
+
+
+def _byte(f: str, i: int) -> str:
+    return f"('0x' || substr(sha256({f}), {2 * i + 1}, 2))::INT"
+
+
+def _bits(f: str) -> str:
+    return f"list_sort(list_distinct(flatten(list_transform({f}, lambda f: [{', '.join(_byte('f', i) for i in (0, 2, 4, 6))}]))))"
+
+
+def _residual(f: str) -> str:
+    return f"list_transform(range(0, 64), lambda k: greatest(-128, least(127, coalesce(list_sum(list_transform(list_filter({f}, lambda f: {_byte('f', 0)} % 64 = k), lambda f: CASE WHEN {_byte('f', 1)} % 2 = 0 THEN 1 ELSE -1 END * (1 + {_byte('f', 2)} % 3))), 0)))::INT)"
+
+
+_CAPS = f"""caps0 AS (SELECT doc_id AS i, doc_id + 1 AS capsule_id, doc_id % 5 + 1 AS tenant_id,
+    coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], 1, 120), '') AS claim, substr(text, 1, 120) AS evidence, source AS source_id,
+    [1, 2, 4, 65535][doc_id % 4 + 1] AS context_mask, CASE WHEN doc_id % 17 = 0 THEN 8 ELSE 65535 END AS policy_mask,
+    (CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 5 + doc_id % 5 END)::INT AS trust_level, CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 0 END AS poison_risk,
+    (CASE WHEN doc_id % 23 = 0 THEN 1780000000 ELSE 1760000000 - doc_id END)::BIGINT AS valid_from, (CASE WHEN doc_id % 31 = 0 THEN 1761000000 END)::BIGINT AS valid_until,
+    1768000000 + doc_id % 5000 AS last_verified_at, 1760000000 + doc_id AS observed_at FROM documents),
+caps AS (SELECT *, {_terms("claim || ' ' || evidence")} AS anchors FROM caps0),
+edges AS (SELECT i + 1 AS "from", tenant_id, "to", kind FROM (
+    SELECT i, tenant_id, i - 4 AS "to", 'Supports' AS kind FROM caps WHERE i >= 5 AND i % 9 = 0 UNION ALL
+    SELECT i, tenant_id, i - 4, 'Contradicts' FROM caps WHERE i >= 5 AND i % 37 = 0 UNION ALL
+    SELECT i, tenant_id, i - 4, 'Supersedes' FROM caps WHERE i >= 5 AND i % 41 = 0 UNION ALL
+    SELECT i, tenant_id, i, 'Contradicts' FROM caps WHERE i >= 2 AND i % 37 = 1)),
+probes AS (SELECT item_id AS probe_id, item_id % 5 + 1 AS tenant_id, substr(text, 1, 120) AS probe_text, 1770000000::BIGINT AS as_of, 65535 AS probe_context,
+    CASE WHEN item_id % 2 = 0 THEN 65535 ELSE 1 END AS probe_policy, 4 AS trust_floor, {_terms("substr(text, 1, 120)")} AS terms FROM benchmark),
+pairs AS (SELECT c.*, p.* EXCLUDE (tenant_id) FROM caps c JOIN probes p USING (tenant_id)),
+gated AS (SELECT * FROM pairs WHERE (context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of) AND trust_level >= trust_floor)"""
+
+_SCORED = f"""{_CAPS},
+cfp AS MATERIALIZED (SELECT capsule_id, {_bits("f")} AS bits, {_residual("f")} AS residual FROM (SELECT capsule_id, {_features("anchors")} AS f FROM caps)),
+pfp AS MATERIALIZED (SELECT probe_id, {_bits("f")} AS pbits, {_residual("f")} AS presidual FROM (SELECT probe_id, {_features("terms")} AS f FROM probes)),
+unsup AS (SELECT g.* FROM gated g WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN gated b ON b.capsule_id = e."from" WHERE e.kind = 'Supersedes' AND e."to" = g.capsule_id AND b.probe_id = g.probe_id)),
+feat AS (SELECT u.*, len(list_intersect(anchors, terms)) AS overlap, len(bits) + len(pbits) - 2 * len(list_intersect(bits, pbits)) AS hamming,
+    list_sum(list_transform(list_zip(residual, presidual), lambda z: z[1] * z[2])) AS rdot FROM {{source}} u JOIN cfp USING (capsule_id) JOIN pfp USING (probe_id)),
+base AS (SELECT *, overlap * 7.2::DOUBLE + 2 * (1 - hamming / 256.0::DOUBLE) + rdot / 128.0::DOUBLE + bit_count(context_mask & probe_context) / 128.0::DOUBLE + trust_level / 10.0::DOUBLE
+    + 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE / 365) - 0.5::DOUBLE * poison_risk AS native,
+    len(list_filter(terms, lambda t: contains(lower(claim || ' ' || evidence), t))) + overlap AS lexical, 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE) AS temporal FROM feat)"""
+_NATIVE = _SCORED.replace("{source}", "unsup")
+_FUSED = _SCORED.replace("{source}", "gated")
+_NARROW = """narrow AS (SELECT * FROM (SELECT *, bool_or(overlap > 0 OR hamming <= 180) OVER (PARTITION BY probe_id) AS some FROM base) WHERE NOT some OR overlap > 0 OR hamming <= 180),
+cap AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY overlap = 0, hamming, capsule_id) AS place FROM narrow QUALIFY place <= 2048)"""
+_ORDER = "PARTITION BY probe_id ORDER BY score DESC, trust_level DESC, last_verified_at DESC, capsule_id"
+_PARENT = """parent AS (SELECT * EXCLUDE (score), round(score + 0.03::DOUBLE * (n - 1), 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY probe_id, source_id) AS n, row_number() OVER (PARTITION BY probe_id, source_id ORDER BY score DESC, trust_level DESC, last_verified_at DESC, capsule_id) AS b FROM {}) WHERE b = 1)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.records(table(spark, sf_dir, "documents"))
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.probes(table(spark, sf_dir, "benchmark"))
+
+
+def _printed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = _records(spark, sf_dir)
+    p = corpus.fingerprinted(_probes(spark, sf_dir), "terms").withColumnsRenamed({"bits": "probe_bits", "residual": "probe_residual"})
+    return corpus.fingerprinted(r, "anchors"), p, corpus.edges(r)
+
+
+# ---- scalar functions
+
+
+@query(f"SELECT doc_id, {_terms('text')} AS terms FROM documents")
+def tokenize_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.extract_terms(F.col("text")).alias("terms"))
+
+
+@query(f"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9-]+'), lambda t: length(t) >= 3))) AS terms FROM documents")
+def harness_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.harness_terms(F.col("text")).alias("terms"))
+
+
+@query(f"WITH {_CAPS} SELECT capsule_id, {_features('anchors')} AS features FROM caps")
+def ngram_features(spark, sf_dir):
+    return _records(spark, sf_dir).select("capsule_id", text.features(F.col("anchors")).alias("features"))
+
+
+@query(f"WITH {_CAPS} SELECT probe_id, {_bits('f')} AS bits FROM (SELECT probe_id, {_features('terms')} AS f FROM probes)")
+def fingerprint_bits(spark, sf_dir):
+    return _probes(spark, sf_dir).select("probe_id", fingerprint.bits(text.features(F.col("terms"))).alias("bits"))
+
+
+@query(f"WITH {_CAPS} SELECT probe_id, {_residual('f')} AS residual FROM (SELECT probe_id, {_features('terms')} AS f FROM probes)")
+def residual_vector(spark, sf_dir):
+    return _probes(spark, sf_dir).select("probe_id", fingerprint.residual(text.features(F.col("terms"))).alias("residual"))
+
+
+@query("SELECT doc_id, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::INT AS tokens FROM documents")
+def token_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH {_CAPS} SELECT capsule_id, tenant_id, claim, evidence, context_mask, policy_mask, trust_level, valid_from, valid_until, anchors, sha256(claim || chr(10) || evidence) AS content_hash FROM caps")
+def ingest_capsules(spark, sf_dir):
+    return _records(spark, sf_dir).select("capsule_id", "tenant_id", "claim", "evidence", "context_mask", "policy_mask", "trust_level", "valid_from", "valid_until", "anchors", F.sha2(F.concat_ws("\n", "claim", "evidence"), 256).alias("content_hash"))
+
+
+# ---- gates
+
+_ONE = {"gate_context": (gates.context, "(context_mask & probe_context) <> 0"), "gate_policy": (gates.policy, "(policy_mask & probe_policy) <> 0"), "gate_validity": (gates.validity, "valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of)"), "gate_trust": (gates.trust, "trust_level >= trust_floor"), "gate_tenant": (lambda: F.lit(True), "true")}
+
+
+def _gate(name: str, test) -> None:
+    def run(spark, sf_dir):
+        return _records(spark, sf_dir).join(_probes(spark, sf_dir), "tenant_id").filter(test()).select("probe_id", "capsule_id")
+
+    run.__name__ = name
+    query(f"WITH {_CAPS} SELECT probe_id, capsule_id FROM pairs WHERE {_ONE[name][1]}")(run)
+
+
+for _name, (_test, _) in _ONE.items():
+    _gate(_name, _test)
+
+
+@query(f"WITH {_CAPS} SELECT probe_id, capsule_id FROM gated")
+def gates_all(spark, sf_dir):
+    return gates.admitted(_records(spark, sf_dir), _probes(spark, sf_dir)).select("probe_id", "capsule_id")
+
+
+@query(f"WITH {_CAPS} SELECT g.probe_id, g.capsule_id FROM gated g WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN gated b ON b.capsule_id = e.\"from\" WHERE e.kind = 'Supersedes' AND e.\"to\" = g.capsule_id AND b.probe_id = g.probe_id)")
+def gate_supersession(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return gates.not_superseded(gates.admitted(r, _probes(spark, sf_dir)), corpus.edges(r)).select("probe_id", "capsule_id")
+
+
+@query(f"""WITH {_CAPS} SELECT probe_id, count(*) AS considered, count_if((context_mask & probe_context) <> 0)::BIGINT AS context_ok, count_if((policy_mask & probe_policy) <> 0)::BIGINT AS policy_ok,
+count_if(valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of))::BIGINT AS temporal_ok, count_if(trust_level >= trust_floor)::BIGINT AS trust_ok,
+count_if((context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of) AND trust_level >= trust_floor)::BIGINT AS admitted FROM pairs GROUP BY probe_id""")
+def coverage_counters(spark, sf_dir):
+    return gates.coverage(_records(spark, sf_dir), _probes(spark, sf_dir))
+
+
+@query(f"WITH {_CAPS}, t AS (SELECT unnest([1750000000, 1760500000, 1770000000, 1790000000])::BIGINT AS at) SELECT at, tenant_id, count(*) AS live FROM caps, t WHERE valid_from <= at AND (valid_until IS NULL OR valid_until >= at) GROUP BY ALL")
+def as_of_time_travel(spark, sf_dir):
+    at = F.explode(F.array(*(F.lit(t).cast("long") for t in (1750000000, 1760500000, 1770000000, 1790000000)))).alias("as_of")
+    return _records(spark, sf_dir).select("*", at).filter(gates.validity()).groupBy(F.col("as_of").alias("at"), "tenant_id").agg(F.count("*").alias("live"))
+
+
+# ---- candidates and retrieval
+
+
+@query(f"WITH {_CAPS} SELECT probe_id, capsule_id, count(*) AS hits FROM (SELECT capsule_id, tenant_id, unnest(anchors) AS t FROM caps) a JOIN (SELECT probe_id, tenant_id, unnest(terms) AS t FROM probes) b USING (tenant_id, t) GROUP BY ALL")
+def term_lookup_join(spark, sf_dir):
+    return retrieve.term_hits(_records(spark, sf_dir), _probes(spark, sf_dir))
+
+
+@query(f"WITH {_NATIVE} SELECT probe_id, capsule_id, hamming FROM base WHERE hamming <= 180")
+def hamming_neighbors(spark, sf_dir):
+    r, p, e = _printed(spark, sf_dir)
+    return retrieve.paired(r, p, e).filter(F.col("hamming") <= retrieve.NEAR).select("probe_id", "capsule_id", "hamming")
+
+
+@query(f"WITH {_NATIVE}, {_NARROW} SELECT probe_id, capsule_id, place FROM cap")
+def candidate_cap(spark, sf_dir):
+    r, p, e = _printed(spark, sf_dir)
+    return retrieve.capped(retrieve.narrowed(retrieve.paired(r, p, e))).select("probe_id", "capsule_id", F.col("place").cast("long"))
+
+
+@query(f"""WITH {_NATIVE}, lane AS (SELECT unnest(range(0, 16)) AS k),
+c AS (SELECT capsule_id, tenant_id, k, coalesce(list_sum(list_transform(list_filter(bits, lambda b: b // 16 = k), lambda b: 1 << (b % 16))), 0) AS key FROM caps JOIN cfp USING (capsule_id), lane),
+q AS (SELECT probe_id, tenant_id, k, coalesce(list_sum(list_transform(list_filter(pbits, lambda b: b // 16 = k), lambda b: 1 << (b % 16))), 0) AS key FROM probes JOIN pfp USING (probe_id), lane)
+SELECT DISTINCT probe_id, capsule_id FROM c JOIN q USING (tenant_id, k, key)""")
+def lsh_band_candidates(spark, sf_dir):
+    r, p, _ = _printed(spark, sf_dir)
+    return retrieve.band_candidates(r, p)
+
+
+def _mode(name: str, mode: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return retrieve.retrieve(*_printed(spark, sf_dir), mode=mode).select("probe_id", F.col("rank").cast("long"), "capsule_id", "score")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_PICK = "SELECT probe_id, row_number() OVER ({o}) AS rank, capsule_id, score FROM {t} QUALIFY rank <= {k}"
+_mode("gated_topk", "native", f"WITH {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap) " + _PICK.format(o=_ORDER, t="s", k=8))
+_mode("parent_aggregate", "parent", f"WITH {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap), top AS (SELECT *, row_number() OVER ({_ORDER}) AS r FROM s QUALIFY r <= 32), {_PARENT.format('top')} " + _PICK.format(o=_ORDER, t="parent", k=8))
+_mode("score_hybrid", "hybrid", f"WITH {_FUSED}, s AS (SELECT *, round(1.2::DOUBLE * lexical + (native - 2 * overlap) + 4 * overlap + temporal, 6) AS score FROM base) " + _PICK.format(o=_ORDER, t="s", k=8))
+_mode("fusion_parent", "fusion_parent", f"WITH {_FUSED}, s AS (SELECT *, round(0.8::DOUBLE * lexical + (native - 2 * overlap) + 3 * overlap + 0.5::DOUBLE * temporal, 6) AS score FROM base), {_PARENT.format('s')} " + _PICK.format(o=_ORDER, t="parent", k=8))
+
+
+@query(f"""WITH RECURSIVE {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap), r AS (SELECT probe_id, (row_number() OVER ({_ORDER}))::INT AS rank, capsule_id, greatest(1, len(list_filter(string_split_regex(evidence, '\\s+'), lambda x: x <> '')))::INT AS tokens FROM s QUALIFY rank <= 8),
+w AS (SELECT probe_id, rank, capsule_id, tokens, tokens AS used, true AS kept FROM r WHERE rank = 1 UNION ALL
+SELECT r.probe_id, r.rank, r.capsule_id, r.tokens, CASE WHEN w.used + r.tokens <= 60 THEN w.used + r.tokens ELSE w.used END, w.used + r.tokens <= 60 FROM w JOIN r ON r.probe_id = w.probe_id AND r.rank = w.rank + 1)
+SELECT probe_id, rank, capsule_id, tokens FROM w WHERE kept""")
+def token_budget(spark, sf_dir):
+    top = retrieve.retrieve(*_printed(spark, sf_dir)).withColumn("tokens", text.token_estimate(F.col("evidence")))
+    return retrieve.budgeted(top, 60)
+
+
+@query(f"""WITH {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap), r AS (SELECT probe_id, row_number() OVER ({_ORDER}) AS rank, capsule_id FROM s QUALIFY rank <= 8),
+x AS (SELECT r.probe_id, r.rank, e.* EXCLUDE (tenant_id) FROM r JOIN edges e ON e."from" = r.capsule_id),
+y AS (SELECT x.*, (valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of)) AS valid FROM x JOIN pairs p ON p.probe_id = x.probe_id AND p.capsule_id = x."to" WHERE (context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND trust_level >= trust_floor)
+SELECT probe_id, "to" AS capsule_id, string_agg(note, '; ' ORDER BY rank, note) AS notes FROM (SELECT *, kind || ' from ' || "from" || ' to ' || "to" || ' weight 1' AS note FROM y WHERE kind <> 'Supports' OR valid) GROUP BY ALL""")
+def relation_conflicts(spark, sf_dir):
+    r, p, e = _printed(spark, sf_dir)
+    return retrieve.related(retrieve.retrieve(r, p, e), e, r, p)
+
+
+@query(f"WITH {_CAPS} SELECT tenant_id, count(*) AS rows, count_if(trust_level < 4 OR valid_from > 1770000000 OR valid_until < 1770000000 OR (policy_mask & 1) = 0)::BIGINT AS embargoed FROM caps GROUP BY ALL")
+def policy_leak_audit(spark, sf_dir):
+    open_ = gates.trust(corpus.FLOOR) & gates.validity(corpus.AS_OF) & gates.policy(1)
+    return _records(spark, sf_dir).groupBy("tenant_id").agg(F.count("*").alias("rows"), F.count_if(~open_).alias("embargoed"))
+
+
+# ---- dense vectors
+
+_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query_id, v.vec_id AS item, q.label AS ql, v.label AS vl, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM q JOIN v ON q.vec_id <> v.vec_id)"
+
+
+def _cosines(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
+    return v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("item"), "ql", F.col("label").alias("vl"), F.round(fingerprint.cosine(F.col("qe"), F.col("embedding")), 6).alias("cosine"))
+
+
+@query(f"WITH {_VEC} SELECT query_id, item, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item) AS rank FROM d QUALIFY rank <= 10")
+def dense_cosine_topk(spark, sf_dir):
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item")
+    return _cosines(spark, sf_dir).withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 10").select("query_id", "item", "cosine", "rank")
+
+
+@query(f"WITH {_VEC}, r AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item) AS a, row_number() OVER (PARTITION BY query_id ORDER BY ql <> vl, item) AS b FROM d) SELECT query_id, item, round(1 / (60.0::DOUBLE + a) + 1 / (60.0::DOUBLE + b), 9) AS rrf FROM r WHERE a <= 100 OR b <= 100")
+def dense_rrf_fusion(spark, sf_dir):
+    by = Window.partitionBy("query_id")
+    r = _cosines(spark, sf_dir).withColumns({"a": F.row_number().over(by.orderBy(F.desc("cosine"), "item")), "b": F.row_number().over(by.orderBy(F.col("ql") != F.col("vl"), "item"))})
+    return r.filter("a <= 100 OR b <= 100").select("query_id", "item", F.round(1 / (F.lit(60.0) + F.col("a")) + 1 / (F.lit(60.0) + F.col("b")), 9).alias("rrf"))
+
+
+@query()
+def simhash_candidates(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(fingerprint.simhash_bands(F.col("embedding"), 64)).alias("band", "key"))
+    q = v.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
+    return q.join(v, ["band", "key"]).filter("vec_id <> query_id").select("query_id", "vec_id").distinct()
+
+
+# ---- evaluation
+
+_EVAL = f"""q AS (SELECT item_id AS query_id, {_terms('text')} AS terms FROM benchmark), d AS (SELECT doc_id, source, {_terms('text')} AS terms FROM documents),
+m AS (SELECT query_id, doc_id, len(d.terms) AS len, t FROM (SELECT doc_id, terms, unnest(terms) AS t FROM d) d JOIN (SELECT query_id, unnest(terms) AS t FROM q) q USING (t)),
+df AS (SELECT t, count(DISTINCT doc_id) AS df FROM m GROUP BY t), st AS (SELECT count(*) AS n, avg(len(terms)) AS al FROM d),
+bm AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))), 6) AS score FROM m JOIN df USING (t), st GROUP BY ALL),
+ov AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM m GROUP BY ALL),
+bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm), ovr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov),
+tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents c ON contains(c.text, b.text)),
+me AS (SELECT query_id, nt, h1, h5, h10, first, dcg FROM (SELECT query_id, count(*) AS nt FROM tr GROUP BY 1) LEFT JOIN (SELECT query_id, count_if(rank <= 1) AS h1, count_if(rank <= 5) AS h5, count_if(rank <= 10) AS h10, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM bmr JOIN tr USING (query_id, doc_id) GROUP BY 1) USING (query_id)),
+mt AS (SELECT query_id, round(coalesce(h1, 0) / nt::DOUBLE, 6) AS recall_1, round(coalesce(h5, 0) / nt::DOUBLE, 6) AS recall_5, round(coalesce(h10, 0) / nt::DOUBLE, 6) AS recall_10, round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr,
+  round(coalesce(dcg / list_sum(list_transform(range(1, least(nt, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_10, coalesce(h10, 0) = 0 AS zero_recall FROM me)"""
+
+
+def _eval(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.extract_terms(F.col("text")).alias("terms"))
+    return q, table(spark, sf_dir, "documents").select("doc_id", text.extract_terms(F.col("text")).alias("terms"))
+
+
+def _truth(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    return table(spark, sf_dir, "documents").join(b, F.contains("text", "item")).select("query_id", "doc_id")
+
+
+def _metrics(spark, sf_dir):
+    return evaluation.metrics(evaluation.ranked(evaluation.bm25_scores(*_eval(spark, sf_dir))), _truth(spark, sf_dir))
+
+
+@query(f"WITH {_EVAL} SELECT query_id, doc_id, score, rank FROM ovr WHERE rank <= 10")
+def overlap_rank(spark, sf_dir):
+    return evaluation.ranked(evaluation.overlap_scores(*_eval(spark, sf_dir)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_EVAL} SELECT query_id, doc_id, score, rank FROM bmr WHERE rank <= 10")
+def bm25_rank(spark, sf_dir):
+    return evaluation.ranked(evaluation.bm25_scores(*_eval(spark, sf_dir)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_EVAL}, h AS (SELECT bm.query_id, bm.doc_id, round(bm.score + coalesce(0.05::DOUBLE / rank, 0), 6) AS score FROM bm LEFT JOIN ovr USING (query_id, doc_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 10")
+def hybrid_rank(spark, sf_dir):
+    q, d = _eval(spark, sf_dir)
+    other = evaluation.ranked(evaluation.overlap_scores(q, d))
+    return evaluation.ranked(evaluation.hybrid_scores(evaluation.bm25_scores(q, d), other), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_EVAL} SELECT query_id, source AS parent, round(max(score) + 0.005::DOUBLE * (count(*) - 1), 6) AS score, count(*) AS n_docs FROM bm JOIN d USING (doc_id) GROUP BY ALL")
+def hybrid_parent(spark, sf_dir):
+    parents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("parent"))
+    return evaluation.parent_scores(evaluation.bm25_scores(*_eval(spark, sf_dir)), parents)
+
+
+@query(f"WITH {_EVAL}, l AS (SELECT query_id, doc_id, rank FROM bmr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM ovr WHERE rank <= 50) SELECT query_id, doc_id AS item, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS rrf FROM l GROUP BY ALL")
+def rrf_fuse(spark, sf_dir):
+    q, d = _eval(spark, sf_dir)
+    lists = evaluation.ranked(evaluation.bm25_scores(q, d), 50).unionByName(evaluation.ranked(evaluation.overlap_scores(q, d), 50))
+    return retrieve.reciprocal_rank_fusion(lists.withColumnRenamed("doc_id", "item"))
+
+
+@query(f"WITH {_EVAL} SELECT * FROM mt")
+def retrieval_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@query(f"WITH {_EVAL} SELECT query_id % 4 AS category, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('recall_1', 'recall_5', 'recall_10', 'mrr', 'ndcg_10'))}, round(avg(zero_recall::INT), 6) AS zero_rate FROM mt GROUP BY 1")
+def category_breakdown(spark, sf_dir):
+    return evaluation.summary(_metrics(spark, sf_dir).withColumn("category", F.col("query_id") % 4), "category")
+
+
+@query(f"WITH {_EVAL} SELECT CASE WHEN recall_10 >= 1 THEN 'hit' WHEN recall_10 > 0 THEN 'multi-session-partial' WHEN zero_recall THEN 'zero-recall' ELSE 'below-top-k' END AS bucket, count(*) AS n FROM mt GROUP BY 1")
+def miss_diagnosis(spark, sf_dir):
+    return _metrics(spark, sf_dir).groupBy(evaluation.miss_bucket().alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# ---- store, views, usage
+
+_OPS = "ops AS (SELECT event_id AS seq, user_id AS capsule_id, user_id % 7 AS tenant_id, CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 'delete' ELSE 'insert' END AS op, value FROM events)"
+
+
+def _ops(spark, sf_dir):
+    op = F.when((F.col("event_type") == "error") | (F.col("event_id") % 11 == 0), "delete").otherwise("insert")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("capsule_id"), (F.col("user_id") % 7).alias("tenant_id"), op.alias("op"), "value")
+
+
+@query(f"WITH {_OPS} SELECT seq, capsule_id, tenant_id, op, value FROM ops QUALIFY row_number() OVER (PARTITION BY tenant_id, capsule_id ORDER BY seq DESC) = 1")
+def lsm_newest_wins(spark, sf_dir):
+    return store.newest(_ops(spark, sf_dir))
+
+
+@query(f"WITH {_OPS}, n AS (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY tenant_id, capsule_id ORDER BY seq DESC) = 1) SELECT seq, capsule_id, tenant_id, value FROM n WHERE op = 'insert'")
+def wal_replay(spark, sf_dir):
+    return store.live(_ops(spark, sf_dir))
+
+
+@query(f"WITH {_OPS} SELECT seq, capsule_id, tenant_id FROM ops o WHERE op = 'insert' AND NOT EXISTS (SELECT 1 FROM ops d WHERE d.op = 'delete' AND d.capsule_id = o.capsule_id AND d.tenant_id = o.tenant_id AND d.seq % 2 = 0)")
+def tombstone_anti(spark, sf_dir):
+    ops = _ops(spark, sf_dir)
+    return store.without_tombstones(ops.filter("op = 'insert'"), ops.filter("op = 'delete' AND seq % 2 = 0")).select("seq", "capsule_id", "tenant_id")
+
+
+@query(f"WITH {_OPS} SELECT seq // 1024 AS tier, count(*) AS rows, count_if(op = 'insert')::BIGINT AS inserts, count_if(op = 'delete')::BIGINT AS deletes FROM ops GROUP BY 1")
+def store_stats(spark, sf_dir):
+    return store.tier_stats(_ops(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+v AS (SELECT 'session' AS view, conv_id, NULL::BIGINT AS turn, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS text FROM t GROUP BY conv_id UNION ALL SELECT 'turn', conv_id, turn, text FROM t UNION ALL
+SELECT 'native-capsule', conv_id, turn, text FROM t UNION ALL SELECT role || '-turn', conv_id, turn, text FROM t WHERE role IN ('user', 'assistant'))
+SELECT *, substr(sha256(conv_id || ':' || coalesce(turn::VARCHAR, '-') || ':' || view), 1, 32) AS capsule_id FROM v""")
+def conversation_views(spark, sf_dir):
+    return views.five_views(table(spark, sf_dir, "conversations"))
+
+
+_LOG = "log AS (SELECT event_id AS seq, user_id AS tenant_id, CASE event_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'insert' ELSE 'delete' END AS op, value AS ms, epoch(ts) AS at FROM events)"
+
+
+def _log(spark, sf_dir):
+    op = F.element_at(F.array(F.lit("query"), F.lit("insert"), F.lit("delete")), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tenant_id"), op.alias("op"), F.col("value").alias("ms"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("at", F.col("us") / F.lit(1e6))
+
+
+@query(f"WITH {_LOG} SELECT tenant_id::VARCHAR AS tenant, count_if(op = 'query')::BIGINT AS queries, count_if(op = 'insert')::BIGINT AS inserts, count_if(op = 'delete')::BIGINT AS deletes FROM log GROUP BY tenant_id")
+def tenant_usage(spark, sf_dir):
+    return usage.tenant_usage(_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG}, b AS (SELECT unnest([0.5, 1, 2.5, 5, 10, 25, 50, 100, 250, 500, 1000])::DOUBLE AS le, unnest(['0.5', '1', '2.5', '5', '10', '25', '50', '100', '250', '500', '1000']) AS name) SELECT name AS le, count_if(ms <= b.le)::BIGINT AS n FROM log, b WHERE ms IS NOT NULL GROUP BY 1 UNION ALL SELECT '+Inf', count(ms) FROM log")
+def latency_histogram(spark, sf_dir):
+    return usage.latency_histogram(_log(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS r, sha256(seq || '|' || tenant_id || '|' || op) AS body FROM log),
+c AS (SELECT tenant_id, seq, r, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS record_hash FROM n WHERE r = 1 UNION ALL
+SELECT n.tenant_id, n.seq, n.r, c.record_hash, sha256(c.record_hash || n.body) FROM c JOIN n ON n.tenant_id = c.tenant_id AND n.r = c.r + 1) SELECT tenant_id, seq, prev_hash, record_hash FROM c""")
+def audit_chain(spark, sf_dir):
+    return usage.audit_chain(_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT tenant_id, count(*) AS records, true AS valid FROM log GROUP BY tenant_id")
+def audit_verify(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return usage.audit_verify(usage.audit_chain(log), log)
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    return usage.rate_limit(_log(spark, sf_dir), rate=0.001, burst=3.0)
+
+
+@query(f"""WITH {_EVAL}, p AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS pos, count(*) OVER () AS n, mrr - recall_1 AS diff FROM mt),
+d AS (SELECT round, (('0x' || substr(md5(round || ':' || slot), 1, 8))::BIGINT % n) AS pos FROM (SELECT unnest(range(0, 200)) AS round), (SELECT pos AS slot, n FROM p)) SELECT round::INT AS round, round(avg(diff), 6) AS delta FROM d JOIN p USING (pos) GROUP BY 1""")
+def paired_bootstrap(spark, sf_dir):
+    m = _metrics(spark, sf_dir)
+    n = m.agg(F.count("*").cast("int").alias("n"))  # one row
+    paired = m.withColumn("pos", F.row_number().over(Window.orderBy("query_id")) - 1).crossJoin(F.broadcast(n)).select("pos", "n", (F.col("mrr") - F.col("recall_1")).alias("diff"))
+    return evaluation.paired_bootstrap(paired)
