@@ -69,7 +69,8 @@ def simhash_bands(vector: Column, dim: int) -> Column:
         if ok.any():
             sign = (np.stack(v[ok].to_numpy()).astype(float) @ p.T >= 0).astype(np.int64)
             words = (sign.reshape(-1, 4, 16) << np.arange(16)).sum(axis=2)
-            out[ok] = list(words.astype(np.int32))
+            for i, w in zip(np.flatnonzero(ok), words.astype(np.int32)):
+                out.iat[i] = w
         return out
 
     return bands(vector)

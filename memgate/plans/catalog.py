@@ -77,7 +77,7 @@ base AS (SELECT *, overlap * 7.2::DOUBLE + 2 * (1 - hamming / 256.0::DOUBLE) + r
     len(list_filter(terms, lambda t: contains(lower(claim || ' ' || evidence), t))) + overlap AS lexical, 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE) AS temporal FROM feat)"""
 _NATIVE = _SCORED.replace("{source}", "unsup")
 _FUSED = _SCORED.replace("{source}", "gated")
-_NARROW = """narrow AS (SELECT * FROM (SELECT *, bool_or(overlap > 0 OR hamming <= 180) OVER (PARTITION BY probe_id) AS some FROM base) WHERE NOT some OR overlap > 0 OR hamming <= 180),
+_NARROW = """narrow AS (SELECT * FROM (SELECT *, bool_or(overlap > 0 OR hamming <= 180) OVER (PARTITION BY probe_id) AS hit_any FROM base) WHERE NOT hit_any OR overlap > 0 OR hamming <= 180),
 cap AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY overlap = 0, hamming, capsule_id) AS place FROM narrow QUALIFY place <= 2048)"""
 _ORDER = "PARTITION BY probe_id ORDER BY score DESC, trust_level DESC, last_verified_at DESC, capsule_id"
 _PARENT = """parent AS (SELECT * EXCLUDE (score), round(score + 0.03::DOUBLE * (n - 1), 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY probe_id, source_id) AS n, row_number() OVER (PARTITION BY probe_id, source_id ORDER BY score DESC, trust_level DESC, last_verified_at DESC, capsule_id) AS b FROM {}) WHERE b = 1)"""
@@ -170,10 +170,10 @@ def coverage_counters(spark, sf_dir):
     return gates.coverage(_records(spark, sf_dir), _probes(spark, sf_dir))
 
 
-@query(f"WITH {_CAPS}, t AS (SELECT unnest([1750000000, 1760500000, 1770000000, 1790000000])::BIGINT AS at) SELECT at, tenant_id, count(*) AS live FROM caps, t WHERE valid_from <= at AND (valid_until IS NULL OR valid_until >= at) GROUP BY ALL")
+@query(f"WITH {_CAPS}, t AS (SELECT unnest([1750000000, 1760500000, 1770000000, 1790000000])::BIGINT AS instant) SELECT instant, tenant_id, count(*) AS live FROM caps, t WHERE valid_from <= instant AND (valid_until IS NULL OR valid_until >= instant) GROUP BY ALL")
 def as_of_time_travel(spark, sf_dir):
     at = F.explode(F.array(*(F.lit(t).cast("long") for t in (1750000000, 1760500000, 1770000000, 1790000000)))).alias("as_of")
-    return _records(spark, sf_dir).select("*", at).filter(gates.validity()).groupBy(F.col("as_of").alias("at"), "tenant_id").agg(F.count("*").alias("live"))
+    return _records(spark, sf_dir).select("*", at).filter(gates.validity()).groupBy(F.col("as_of").alias("instant"), "tenant_id").agg(F.count("*").alias("live"))
 
 
 # ---- candidates and retrieval
@@ -424,7 +424,7 @@ def rate_limit(spark, sf_dir):
 
 
 @query(f"""WITH {_EVAL}, p AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS pos, count(*) OVER () AS n, mrr - recall_1 AS diff FROM mt),
-d AS (SELECT round, (('0x' || substr(md5(round || ':' || slot), 1, 8))::BIGINT % n) AS pos FROM (SELECT unnest(range(0, 200)) AS round), (SELECT pos AS slot, n FROM p)) SELECT round::INT AS round, round(avg(diff), 6) AS delta FROM d JOIN p USING (pos) GROUP BY 1""")
+draw AS (SELECT round, (('0x' || substr(md5(round || ':' || slot), 1, 8))::BIGINT % n) AS pos FROM (SELECT unnest(range(0, 200)) AS round), (SELECT pos AS slot, n FROM p)) SELECT round::INT AS round, round(avg(diff), 6) AS delta FROM draw JOIN p USING (pos) GROUP BY 1""")
 def paired_bootstrap(spark, sf_dir):
     m = _metrics(spark, sf_dir)
     n = m.agg(F.count("*").cast("int").alias("n"))  # one row
