@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memgate.llm._shared import small_batches, text_slices
 
@@ -120,7 +121,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, out_col:
             ids = [None if t is None else segments.encode(t) for t in batch.column(len(rest)).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*rest, out_col])
 
-    return frame.mapInArrow(run, frame.select(*rest, F.array().cast("array<int>").alias(out_col)).schema)
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", model: str = MODEL, out_col: str = "text") -> DataFrame:
@@ -135,7 +136,7 @@ def decode(tokens: DataFrame, ids_col: str = "token_ids", model: str = MODEL, ou
             texts = [None if i is None else decoded(i, shared.value) for i in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], [*rest, out_col])
 
-    return frame.mapInArrow(run, frame.select(*rest, F.lit("").alias(out_col)).schema)
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField(out_col, T.StringType())]))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
