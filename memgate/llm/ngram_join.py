@@ -9,8 +9,8 @@ Exact, up to collisions of 64-bit hashes, and without all-pairs work:
 3. Two sets that link share a shingle within their prefixes. Prefix postings are dealt, packed, to tiles by ranges of
    the hash; in a tile each posting list is sorted by size and cut into bands, as sizes of linked sets differ by 1.25
    at most. Short lists give all pairs of a band, long lists only pairs with a hub per band.
-4. Pairs are checked in tiles of documents: bitmap signatures bound the overlap from above by their bit counts, and
-   the sorted arrays are intersected for pairs that pass, unless both are known to be connected already.
+4. Pairs are checked in tiles of documents: bitmap signatures bound the overlap from above by the count of bits that
+   differ, and the sorted arrays are intersected for pairs that pass, unless both are known to be connected already.
 5. Long lists come back with the components found so far; only pairs between different components are still open.
    Lists are cut into blocks, so no task gets more than two blocks of one list.
 6. Components come from repeated contraction of the links with the smallest neighbour.
@@ -40,7 +40,7 @@ TILE_POSTINGS = 1 << 19
 TILE_SETS = 1500
 SHORT_LIST = 12
 BLOCK = 2048
-SIG_WORDS = 16
+SIG_WORDS = 32
 _state: dict = {}
 
 
@@ -299,13 +299,17 @@ def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of SIG_WORDS * 64 bits: a shingle sets the bit of its hash's top bits."""
-    bits = np.zeros((len(sets), SIG_WORDS * 64), bool)
+    """Bitmaps of SIG_WORDS * 64 bits: each shingle flips the bit of its hash's top bits.
+
+    Shared shingles flip the same bits in both bitmaps, so no more bits differ than shingles do; unlike bits that are
+    only set, flipped ones still differ where a set has more shingles than the bitmap has bits."""
+    width = SIG_WORDS * 64
     if not sets:
-        return bits.view(U)
+        return np.zeros((0, SIG_WORDS), U)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bits[row, (np.concatenate(sets) >> U(64 - int(math.log2(SIG_WORDS * 64)))).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(U)
+    bit = (np.concatenate(sets) >> U(64 - int(math.log2(width)))).astype(np.int64)
+    odd = np.bincount(row * width + bit, minlength=len(sets) * width) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sets), width), axis=1).view(U)
 
 
 def near_pairs(key, sigs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:

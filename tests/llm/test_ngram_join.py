@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from memgate.llm import ngram_join
@@ -61,3 +62,17 @@ def test_nulls_and_repeats(spark, rows):
     assert got == ([] if not rows else [(-1, 0, -1), (-1, 2, 7), (7, 2, 7), (7, 2, 7)])
     kept = [r.doc_id for r in ngram_join.representatives(docs).collect()]
     assert kept.count(7) == (1 if rows else 0)
+
+
+def test_signatures_bound_the_overlap_from_above():
+    """No pair that links may be ruled out, also where sets have many times the bitmap's bits."""
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 300, 3000, 40000):
+        pool = np.unique(rng.integers(0, 1 << 64, 2 * size, np.uint64, endpoint=False))
+        for shared in (0.0, 0.5, 0.9, 1.0):
+            k = int(len(pool) * shared)
+            one, two = pool[: max(1, k + (len(pool) - k) // 2)], np.concatenate((pool[:k], pool[k + (len(pool) - k) // 2 :]))
+            bits = ngram_join.signatures([one, two])
+            differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert differ <= len(np.setxor1d(one, two))
+    assert ngram_join.signatures([]).shape == (0, ngram_join.SIG_WORDS)
