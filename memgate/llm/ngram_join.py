@@ -40,7 +40,7 @@ TILE_POSTINGS = 1 << 19
 TILE_SETS = 1500
 SHORT_LIST = 12
 BLOCK = 2048
-SIG_WORDS = 32
+SIG_WORDS = 16
 _state: dict = {}
 
 
