@@ -11,7 +11,8 @@ Exact, up to collisions of 64-bit hashes, and without all-pairs work:
    at most. Short lists give all pairs of a band, long lists only pairs with a hub per band.
 4. Pairs are checked in tiles of documents: bitmap signatures bound the overlap from above by the count of bits that
    differ, and the sorted arrays are intersected for pairs that pass, unless both are known to be connected already.
-5. Long lists come back with the components found so far; only pairs between different components are still open.
+5. Long lists come back with the components found so far; only pairs between different components are still open, and
+   only members stay that have another component among the sizes they can link with.
    Lists are cut into blocks, so no task gets more than two blocks of one list.
 6. Components come from repeated contraction of the links with the smallest neighbour.
 
@@ -447,8 +448,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     long = found.filter("token IS NOT NULL").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
     long = long.join(comp.select(F.col("id").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    mixed = long.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("token")
-    long = long.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+    long = long.withColumn("band", F.floor(F.log("n") / math.log(1.26)))  # sizes of linked sets are at most one band apart
+    spans = long.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    spans = spans.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lo", "hi")
+    mixed = spans.groupBy("token", "band").agg((F.min("lo") < F.max("hi")).alias("mixed")).filter("mixed").select("token", "band")
+    long = long.join(mixed, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
     long = long.join(sigs.select(F.col("set_id").alias("a"), "sig"), "a")
     long = long.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("token", "a", "n", "comp", "block", "sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     long = long.withColumn("tile", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * tiles)))
