@@ -469,14 +469,30 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return some.join(least, "comp").select("doc_id", "n", "component_id").union(own).withColumnRenamed("n", "n_shingles")
 
 
+def parted(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that are not among ids (one column), and those that may be, by a Bloom filter of fixed size.
+
+    Only the latter, some false hits among them, need a join with ids; the texts of all others stay where they are."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(ids)))
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(bloom_has(bits.value, keys.to_numpy(np.int64).view(U)))
+
+    found = hit(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    return docs.filter(~found), docs.filter(found)
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are linked with a smaller id; of rows that repeat an id one stays. Rows with a null id stay."""
     found = materialize(similar_classes(docs, id_col, text_col))
-    drop = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(drop, docs[id_col] == F.col("_id"), "left_anti")
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    drop = materialize(found.filter("component_id < doc_id").select("doc_id").distinct())
+    clear, maybe = parted(docs, drop, id_col)
+    kept = clear.unionByName(maybe.join(drop, maybe[id_col] == drop["doc_id"], "left_anti"))
+    again = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    again = materialize(again)
-    once = kept.join(again, docs[id_col] == F.col("_id"), "left_anti")
-    return once.unionByName(kept.join(reread(again), docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    clear, maybe = parted(kept, again, id_col)
+    once = clear.unionByName(maybe.join(again, maybe[id_col] == again["doc_id"], "left_anti"))
+    other = reread(again)
+    return once.unionByName(maybe.join(other, maybe[id_col] == other["doc_id"], "left_semi").dropDuplicates([id_col]))
