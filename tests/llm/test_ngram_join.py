@@ -76,3 +76,16 @@ def test_signatures_bound_the_overlap_from_above():
             differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
             assert differ <= len(np.setxor1d(one, two))
     assert ngram_join.signatures([]).shape == (0, ngram_join.SIG_WORDS)
+
+
+def test_representatives_where_nothing_is_broadcast(spark):
+    rng = random.Random(8)
+    texts = variants(rng, [f"w{rng.randrange(90)}" for _ in range(80)], 20, 3) + [None, "a b c d e f", "a b c d e f"]
+    rows = [*enumerate(texts), (21, "a b c d e f"), (None, "a b c d e f")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [r.doc_id for r in ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [i for i, (_, c) in brute(list(enumerate(texts))).items() if i == c]
+    assert sorted(i for i in kept if i is not None) == sorted(want) and kept.count(None) == 1
