@@ -276,11 +276,11 @@ def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["n", "a"])
         a, n, comp, block = (g[c].to_numpy() for c in ("a", "n", "comp", "block"))
         bits = np.frombuffer(b"".join(g["sig"]), U).reshape(len(a), SIG_WORDS)
-        if (same := hash((a.tobytes(), block.tobytes()))) in done:
+        two = bool(g["i"].iloc[0] != g["j"].iloc[0])
+        if (same := hash((a.tobytes(), block.tobytes(), two))) in done:
             continue
         done.add(same)
         far = np.searchsorted(n, n * 5 // 4, side="right")
-        two = g["i"].iloc[0] != g["j"].iloc[0]
         for k in range(len(a)):
             other = slice(k + 1, far[k])
             ok = comp[other] != comp[k]

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from memgate.llm import ngram_join
@@ -89,3 +90,13 @@ def test_representatives_where_nothing_is_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = [i for i, (_, c) in brute(list(enumerate(texts))).items() if i == c]
     assert sorted(i for i in kept if i is not None) == sorted(want) and kept.count(None) == 1
+
+
+@pytest.mark.parametrize("groups", [[(0, 1), (0, 0)], [(0, 0), (0, 1)]])
+def test_open_pairs_of_a_list_with_all_members_in_one_block(groups):
+    """A list of over BLOCK sets whose open members all hash to block 0, beside a list of one block with the same members."""
+    sets = [np.arange(100, dtype=np.uint64) << np.uint64(40), np.arange(1, 101, dtype=np.uint64) << np.uint64(40)]
+    sigs = [s.tobytes() for s in ngram_join.signatures(sets)]
+    rows = [(0, token, k, 100, k, 0, sigs[k], i, j) for token in (5, 6) for i, j in groups if token == 5 or i == j for k in (0, 1)]
+    pdf = pd.DataFrame(rows, columns=["tile", "token", "a", "n", "comp", "block", "sig", "i", "j"])
+    assert ngram_join.open_pairs(pdf).values.tolist() == [[0, 1]]
