@@ -5,12 +5,15 @@ sentence, and units behind a number are typed placeholders. Windows of 8 words o
 are hashed into a table; windows of the documents are looked up in it. A template window counts only if most of its
 words are literal and if, along its alignment with the item, each slot value of the item always meets the same value of
 the document. So an item with other numbers or names is found, and a text that merely has the same shape is not.
+Capitalised words at the start of a sentence may be names or not: a third, wide stream takes them as names too. Where
+such a word is the same on both sides it counts as literal. Windows in which one side has such a word lower-case, while
+another sentence-initial word differs, match in no stream.
 
 A document holds an item when consistent windows cover half of the item's, or a run of 20 words. The benchmark goes to
 the executors in blocks of at most `block_items` items and BLOCK_BYTES of text, one pass over the documents for each, so any benchmark size works.
 
 Defined cases: null and empty texts hold nothing; items below 4 words are ignored, items of 4 to 7 words must occur
-whole; repeated items are each reported; a null item text is ignored.
+whole, literally or with other slot values if over half of the words are the same; repeated items are each reported; a null item text is ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ SHARE, RUN = 0.5, 20
 BLOCK_BYTES = 16 << 20
 ALNUM = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
 DIGIT = np.isin(np.arange(256), list(b"0123456789"))
-UPPER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+UPPER = np.array([chr(c).isupper() for c in range(1 << 16)])
 POINT = np.isin(np.arange(256), list(b".,"))
 STOP = np.isin(np.arange(256), list(b".!?:\n"))
 NUMBER, NAME, UNIT = U(0x6E756D), U(0x6E616D65), U(0x756E6974)
@@ -64,49 +67,65 @@ def hasher() -> Hasher:
     return _state["hasher"]
 
 
+def letters(data: np.ndarray, at: np.ndarray):
+    """Code points (of the first plane) of the UTF-8 characters that begin at these bytes, and their lengths."""
+    b = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) for k in range(3)]
+    size = 1 + (b[0] >= 0xC0) + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    two, three = (b[0] & 31) << 6 | b[1] & 63, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
+    return np.select([size == 1, size == 2, size == 3], [b[0], two, three], 0), size
+
+
 def streams(texts: list[bytes]):
-    """Literal words, template words, and the first word of each text (closed by the count)."""
+    """Literal words, template words, wide template words, and the first word of each text (closed by the count)."""
     words, start, end, first, data = hasher()(texts)
-    template = words.copy()
+    template, wide = words.copy(), words.copy()
     if len(words):
         number = DIGIT[data[start]]
         stops = np.cumsum(STOP[data])
         after = np.ones(len(words), bool)  # at the start of a sentence
         after[1:] = stops[start[1:]] > stops[end[:-1] - 1]
-        second = data[np.minimum(start + 1, len(data) - 1)]
-        name = UPPER[data[start]] & ~UPPER[second] & (end - start > 1) & ~after
+        letter, size = letters(data, start)
+        capital = UPPER[letter] & ~UPPER[letters(data, start + size)[0]] & (end - start > size)
+        name = capital & ~after
         unit = np.zeros(len(words), bool)
         unit[1:] = number[:-1] & ~number[1:]
         at = np.flatnonzero(unit)
         units = _state["units"]
         unit[at] = units[np.minimum(np.searchsorted(units, words[at]), len(units) - 1)] == words[at]
         template[number], template[name], template[unit] = NUMBER, NAME, UNIT
-    return words, template, first
+        wide = np.where(capital & after & (template == words), NAME, template)
+    return words, template, wide, first
 
 
 def table_of(items: list[tuple[int, bytes]]) -> dict:
     """Window hashes of the items, sorted, with item and position; the items' words and numbers of windows."""
-    ids, words, templates, short, rows = [], [], [], defaultdict(list), []
+    ids, words, templates, wides, short, rows = [], [], [], [], defaultdict(set), []
     for i, t in items:
-        w, v, _ = streams([t])
+        w, v, x, _ = streams([t])
         if len(w) < LEAST_WORDS:
             continue
         k = len(ids)
         ids.append(i)
         words.append(w)
         templates.append(v)
+        wides.append(x)
         if len(w) < SIZE:
-            short[len(w)].append((int(window_hashes(w, len(w))[0]), k))
+            short[len(w)].add((int(window_hashes(w, len(w))[0]), k))
+            if 2 * np.count_nonzero(v != w) < len(w):
+                short[len(w)] |= {(int(window_hashes(stream, len(w))[0]), k) for stream in (v, x)}
             continue
         literal, shaped = window_hashes(w, SIZE), window_hashes(v, SIZE)
         slots = np.convolve(v != w, np.ones(SIZE, int))[SIZE - 1 : len(w)]
-        rows += [(h, k, p) for p, h in enumerate(literal)]
-        rows += [(h, k, p) for p, h in enumerate(shaped) if 0 < slots[p] <= SIZE - LEAST_LITERAL]
+        rows += [(h, k, p, 0) for p, h in enumerate(literal)]
+        rows += [(h, k, p, 0) for p, h in enumerate(shaped) if 0 < slots[p] <= SIZE - LEAST_LITERAL]
+        rows += [(h, k, p, 1) for p, h in enumerate(window_hashes(x, SIZE)) if h != shaped[p] and slots[p] <= SIZE - LEAST_LITERAL]
     rows.sort()
     keys = np.array([r[0] for r in rows], U)
     seen = np.zeros(1 << 20, bool)
     seen[keys >> U(44)] = True
-    return {"ids": ids, "words": words, "templates": templates, "short": dict(short), "keys": keys, "item": np.array([r[1] for r in rows], np.int64), "pos": np.array([r[2] for r in rows], np.int64), "seen": seen}
+    short = {size: (np.array([h for h, _ in own], U), [k for _, k in own]) for size, own in ((size, sorted(own)) for size, own in short.items())}
+    columns = {name: np.array([r[c] for r in rows], np.int64) for c, name in ((1, "item"), (2, "pos"), (3, "wide"))}
+    return {"ids": ids, "words": words, "templates": templates, "wides": wides, "short": short, "keys": keys, "seen": seen} | columns
 
 
 def looked_up(hashes: np.ndarray, table: dict):
@@ -118,8 +137,8 @@ def looked_up(hashes: np.ndarray, table: dict):
     return np.repeat(at, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def consistent(hits: list[tuple[int, int]], words: np.ndarray, template: np.ndarray, item_words: np.ndarray, item_template: np.ndarray) -> set[int]:
-    """Of hits (position in the document, in the item): item positions of windows whose slots agree along their alignment."""
+def consistent(hits: list[tuple[int, int]], words: np.ndarray, template: np.ndarray, item_words: np.ndarray, item_template: np.ndarray, size: int = SIZE) -> set[int]:
+    """Of hits (position in the document, in the item): item positions of windows of size words whose slots agree along their alignment."""
     by = defaultdict(list)
     for d, p in hits:
         by[d - p].append((d, p))
@@ -128,7 +147,7 @@ def consistent(hits: list[tuple[int, int]], words: np.ndarray, template: np.ndar
         votes: dict[int, Counter] = defaultdict(Counter)
         slots = {}
         for d, p in own:
-            differ = np.flatnonzero((words[d : d + SIZE] != item_words[p : p + SIZE]) | (template[d : d + SIZE] != words[d : d + SIZE]) & (item_template[p : p + SIZE] != item_words[p : p + SIZE]))
+            differ = np.flatnonzero((words[d : d + size] != item_words[p : p + size]) | (template[d : d + size] != words[d : d + size]) & (item_template[p : p + size] != item_words[p : p + size]))
             slots[d, p] = [(int(item_words[p + k]), int(words[d + k])) for k in differ.tolist()]
         for a, b in {(p + k, x) for (_, p), s in slots.items() for k, x in enumerate(s)}:
             votes[b[0]][b[1]] += 1
@@ -137,6 +156,12 @@ def consistent(hits: list[tuple[int, int]], words: np.ndarray, template: np.ndar
     return kept
 
 
+def mostly_literal(d: int, p: int, words: np.ndarray, item_words: np.ndarray, item_template: np.ndarray, size: int, most: int) -> bool:
+    """Whether a window is literal, or has at most so many slots; a sentence-initial word that is the same counts as literal."""
+    differ = words[d : d + size] != item_words[p : p + size]
+    return not differ.any() or np.count_nonzero(differ | (item_template[p : p + size] != item_words[p : p + size])) <= most
+
+
 def longest_run(positions: set[int]) -> int:
     best = run = 0
     last = -2
@@ -149,29 +174,45 @@ def longest_run(positions: set[int]) -> int:
 def held_items(texts: list[bytes], table: dict):
     """(index of the text, item's index, windows found, item's windows) for each text that holds an item."""
     for a, b in groups(texts):
-        words, template, first = streams(texts[a:b])
+        words, template, wide, first = streams(texts[a:b])
         if len(words) < LEAST_WORDS:
             continue
         hits: dict[tuple[int, int], set] = defaultdict(set)
+        wider: dict[tuple[int, int], set] = defaultdict(set)  # hits that take sentence-initial words as names on either side
         if len(table["keys"]):
-            for stream in (words, template):
+            for stream in (words, template, wide):
                 at, row = looked_up(window_hashes(stream, SIZE), table)
                 doc = np.searchsorted(first, at, side="right") - 1
                 inside = at + SIZE <= first[doc + 1] if len(at) else at.astype(bool)
                 for d, x, r in zip(doc[inside].tolist(), at[inside].tolist(), row[inside].tolist()):
-                    hits[d, int(table["item"][r])].add((x, int(table["pos"][r])))
-        for (d, k), found in sorted(hits.items()):
-            n = len(table["words"][k]) - SIZE + 1
-            kept = consistent(sorted(found), words, template, table["words"][k], table["templates"][k])
-            if kept and (len(kept) >= SHARE * n or longest_run(kept) + SIZE - 1 >= RUN):
-                yield a + d, k, len(kept), n
-        for size, own in table["short"].items():
-            h = window_hashes(words, size)
-            for key, k in own:
-                at = np.flatnonzero(h == U(key))
+                    (wider if stream is wide or table["wide"][r] else hits)[d, int(table["item"][r])].add((x, int(table["pos"][r])))
+        for d, k in sorted(hits.keys() | wider.keys()):
+            item, shape, wide_shape = table["words"][k], table["templates"][k], table["wides"][k]
+            n = len(item) - SIZE + 1
+            plain = hits.get((d, k), set())
+            more = {(x, p) for x, p in wider.get((d, k), set()) - plain if mostly_literal(x, p, words, item, shape, SIZE, SIZE - LEAST_LITERAL)}
+            tries = [consistent(sorted(plain), words, template, item, shape)]
+            if more:
+                tries.append(consistent(sorted(plain | more), words, wide, item, wide_shape))
+            held = [len(kept) for kept in tries if kept and (len(kept) >= SHARE * n or longest_run(kept) + SIZE - 1 >= RUN)]
+            if held:
+                yield a + d, k, max(held), n
+        for size, (keys, items) in table["short"].items():
+            found = set()
+            for stream in (words, template, wide):
+                h = window_hashes(stream, size)
+                at = np.flatnonzero(np.isin(h, keys))
                 doc = np.searchsorted(first, at, side="right") - 1
-                for d in np.unique(doc[at + size <= first[doc + 1]]).tolist() if len(at) else ():
-                    yield a + d, k, 1, 1
+                inside = at + size <= first[doc + 1] if len(at) else at.astype(bool)
+                for d, x in zip(doc[inside].tolist(), at[inside].tolist()):
+                    for r in range(np.searchsorted(keys, h[x], "left"), np.searchsorted(keys, h[x], "right")):
+                        k = items[r]
+                        item, shape = table["words"][k], table["templates"][k]
+                        literal = np.array_equal(words[x : x + size], item)
+                        if literal or (d, k) not in found and mostly_literal(x, 0, words, item, shape, size, (size - 1) // 2) and consistent([(x, 0)], words, wide, item, table["wides"][k], size):
+                            found.add((d, k))
+            for d, k in sorted(found):
+                yield a + d, k, 1, 1
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int):

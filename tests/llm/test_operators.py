@@ -82,6 +82,19 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench, block_items=1).collect()} == got
 
 
+def test_decontamination_of_renamed_items(spark):
+    story = "{0} has {1} apples and buys {2} more apples. {0} gives {3} apples to his friend. How many apples does {0} have left?"
+    tale = "At the market {0} sold {1} pears to {2} and then walked back to the farm with {3} others"
+    items = [story.format("Tom", 5, 3, 2), "What is 12 times 3 plus 4?", tale.format("Érik", 5, "Ana", 9), "Say what 3 cats and 3 dogs eat"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        story.format("Anna", 7, 4, 6), "Well. " + story.format("Łukasz", 7, 4, 6), "Anna has 7 apples. Ben gives 6 apples to his friend.",
+        "Now, what is 7 times 9 plus 30?", "What is 7 plus 9 times 30?", tale.format("Ómar", 8, "Zoë", 4), "say what 5 cats and 5 dogs eat", "say what 5 cats and 6 dogs eat", "what is times plus",
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 0), (3, 1), (5, 2), (6, 3)}
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.predict(d, language_id.learn(d)).withColumn("held_out", language_id.held_out("doc_id")).join(d.select("doc_id", "lang"), "doc_id")
