@@ -138,6 +138,22 @@ def test_licences_wrapped_and_near(spark):
     assert got == {(0, "MIT"), (1, "Apache-2.0")}
 
 
+def test_licences_in_full_and_inside_paragraphs(spark):
+    mit = next(t for name, t in licences.FULL if name == "MIT")
+    mpl = next(t for name, t in licences.FULL if name == "MPL-2.0")
+    prose = "One two three of the four words stand here, and more of them. "
+    other = " ".join(f"a{k} b{k}." for k in range(60))
+    words = mit.split()
+    wrapped = "\n".join(" ".join(words[k : k + 8]) for k in range(0, len(words), 8))
+    texts = [
+        mit, "// " + mpl.replace("Public", "Public\n//"), prose + "Released under the MIT License. " + prose + "Licensed under CC BY 4.0. " + prose,
+        other + "\nCopyright (c) 2020 A. Person\n" + wrapped + "\n" + other,
+        prose * 20, prose + "\nReleased under the MIT License.\n" + prose, prose + ("Released under the MIT License. " * 3) + prose,
+    ]
+    got = {(r.doc_id, r.licence): r.n_units for r in licences.scan(docs(spark, texts)).collect()}
+    assert got == {(0, "MIT"): 1, (1, "MPL-2.0"): 3, (2, "MIT"): 1, (2, "CC-BY-4.0"): 1, (3, "MIT"): 1, (5, "MIT"): 1, (6, "MIT"): 3}
+
+
 def test_quality_edges(spark):
     rows = {r.doc_id: r for r in quality_rules.judge(docs(spark, [None, "", "a b c d e f g h " * 10, "#$ x\n\nx\n x\nx", " ".join(f"w{i}" for i in range(50))])).collect()}
     assert (rows[0].n_words, rows[0].base_failed) == (0, True) and rows[2].n_repeat_words == 80 and rows[2].base_failed
