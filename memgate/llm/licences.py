@@ -3,7 +3,7 @@
 Units of a text are its lines and its paragraphs of several lines (wrapped notices), normalised to lower case and words
 of letters and digits; and runs of sentences inside a paragraph, cut at line ends and after . ! ? : and ;. A template with b bigrams can only reach the threshold
 t with units of b * t / (2 - t) to b * (2 - t) / t bigrams; these size bounds pick the candidate templates before any
-bigram is compared; a unit with over PROSE times the words of the largest is prose.
+bigram is compared. The words of a unit are not bounded, as repeated bigrams count once.
 
 Defined cases: a null or empty text has no licence; a unit that reaches several templates takes the best, ties the first
 by name; repeated units count again; a table without rows gives none. Of runs that overlap, the best counts, the shorter
@@ -48,7 +48,6 @@ FULL = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 THRESHOLD = 0.8
-PROSE = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,7 +89,7 @@ def units(docs: DataFrame, least: float, most: float, anchor: str) -> DataFrame:
     # n distinct bigrams take more than n words, so more than 2n characters
     own = F.filter(F.transform(F.concat(F.split("text", "\n"), paragraphs), lambda s, i: F.struct((i + 1).alias("unit"), s.alias("s"))), lambda x: (F.length(x["s"]) > 2 * least) & F.rlike(x["s"], F.lit(anchor)))
     rows = docs.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.unit", words_of(F.col("x.s")).alias("words"))
-    rows = rows.filter((F.size("words") > least) & (F.size("words") <= PROSE * most)).select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
+    rows = rows.filter(F.size("words") > least).select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
     return rows.filter((F.size("grams") >= least) & (F.size("grams") <= most))
 
 

@@ -154,6 +154,12 @@ def test_licences_in_full_and_inside_paragraphs(spark):
     assert got == {(0, "MIT"): 1, (1, "MPL-2.0"): 3, (2, "MIT"): 1, (2, "CC-BY-4.0"): 1, (3, "MIT"): 1, (5, "MIT"): 1, (6, "MIT"): 3}
 
 
+def test_licences_in_long_repetitive_lines(spark):
+    line = "Released under the MIT License. "
+    got = [(r.doc_id, r.licence, r.n_units, r.dice) for r in licences.scan(docs(spark, [line * 50, line * 400])).orderBy("doc_id").collect()]
+    assert got == [(0, "MIT", 1, 0.888889), (1, "MIT", 1, 0.888889)]
+
+
 def test_quality_edges(spark):
     rows = {r.doc_id: r for r in quality_rules.judge(docs(spark, [None, "", "a b c d e f g h " * 10, "#$ x\n\nx\n x\nx", " ".join(f"w{i}" for i in range(50))])).collect()}
     assert (rows[0].n_words, rows[0].base_failed) == (0, True) and rows[2].n_repeat_words == 80 and rows[2].base_failed
