@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="memgate-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +52,18 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hot_join(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """big joined with small, a materialized table that has each key once and, in `count`, how many rows of big hold it.
+
+    Keys of more than 1/256 of all rows, of which there are fewer than 256, are broadcast; so no task gets one of them whole."""
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = [r[0] for r in small.filter(F.col(count) * 256 > total).select(key).collect()]
+    if not hot:
+        return big.join(small, key)
+    rest = big.filter(~F.col(key).isin(hot)).join(small.filter(~F.col(key).isin(hot)), key)
+    return rest.unionByName(big.filter(F.col(key).isin(hot)).join(F.broadcast(small.filter(F.col(key).isin(hot))), key))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     """Let Arrow batches hold at most so many texts, so that a batch of long ones stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,15 +72,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
-def text_slices(batches, size: int = 1 << 21):
-    """(first column, texts as bytes) of Arrow batches, about `size` bytes at a time; a null text is empty."""
+def text_slices(batches, size: int = 1 << 21, more: int = 0):
+    """(first column, texts as bytes) of Arrow batches, about `size` bytes at a time, with so many more columns; a null text is empty."""
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).fill_null(b"")
         total = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
-            yield batch.column(0).slice(at, to - at).to_pylist(), texts.slice(at, to - at).to_pylist()
+            yield batch.column(0).slice(at, to - at).to_pylist(), texts.slice(at, to - at).to_pylist(), *(batch.column(2 + k).slice(at, to - at) for k in range(more))
             at = to
 
 

@@ -8,14 +8,20 @@ Exact, up to collisions of 64-bit hashes, and without all-pairs work:
    full nor a false-positive-laden filter loses a link.
 3. Two sets that link share a shingle within their prefixes. Prefix postings are dealt, packed, to tiles by ranges of
    the hash; in a tile each posting list is sorted by size and cut into bands, as sizes of linked sets differ by 1.25
-   at most. Short lists give all pairs of a band, long lists only pairs with a hub per band.
+   at most. Short lists give all pairs of a band, long lists only pairs with a hub per band. What one task holds of a
+   very frequent shingle forms a list of its own, in one of many spare tiles, so no task gets such a list whole.
 4. Pairs are checked in tiles of documents: bitmap signatures bound the overlap from above by the count of bits that
    differ, and the sorted arrays are intersected for pairs that pass, unless both are known to be connected already.
 5. Long lists come back with the components found so far; only pairs between different components are still open, and
-   only members stay that have another component among the sizes they can link with.
-   Lists are cut into blocks, so no task gets more than two blocks of one list.
+   only members stay that have another component among the sizes they can link with. Lists are cut into blocks of
+   BLOCK members, anew in each round, and a block proposes the best pair between components that its signatures allow,
+   fewer pairs than it has components. When a round of proposals brings nothing, or after ROUNDS of them, a last round
+   takes every open pair: members outside a list's largest component visit all blocks of the list. It makes the result
+   exact; few pairs are left for it, as those that link are in one component by then.
 6. Components come from repeated contraction of the links with the smallest neighbour.
 
+Only the first two passes hash all texts; later ones hash one text for each class that a pair needs.
+
 Defined cases: null, empty and blank texts have an empty set and no links (component: themselves); rows that repeat an
 id are judged row by row; a null id keeps its row, and takes the smallest non-null id of its component if there is one.
 """
@@ -30,17 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgate.llm._shared import LOWER, STEPS, WHITE, U, WordHasher, discard, groups, materialize, mix, reread, small_batches, text_slices, window_hashes
+from memgate.llm._shared import LOWER, STEPS, WHITE, U, WordHasher, discard, groups, hot_join, materialize, mix, reread, small_batches, text_slices, window_hashes
 
 N = 5
-#: Bits of the Bloom filter of hot shingles and of the filter of needed sets: 2 MB each, whatever the input.
-BLOOM_BITS = 1 << 24
+#: Bits of the Bloom filter of hot shingles, and bounds of those of filters of ids, by their number.
+BLOOM_BITS, MOST_BITS = 1 << 24, 1 << 27
 #: At most so many shingles count as hot; the df threshold doubles until they fit.
 HOT_MOST = 1 << 20
-TILE_POSTINGS = 1 << 19
-TILE_SETS = 1500
+#: Postings and partitions of the first tile pass; a partition holds one tile or more, one at a time in memory.
+TILE_POSTINGS, MOST_PARTITIONS = 1 << 18, 20_000
+#: A tile of documents holds about so many sets, and shingles.
+TILE_SETS, TILE_SHINGLES = 1500, 1 << 20
 SHORT_LIST = 12
+#: More postings of one shingle in a flush of some million go to a spare tile.
+HEAVY = 64
 BLOCK = 2048
+ROUNDS = 4
+SALTS = 16
 SIG_WORDS = 16
 _state: dict = {}
 
@@ -77,33 +89,37 @@ def set_id(grams: np.ndarray) -> int:
     return int(mix(mix(grams).sum(dtype=U, keepdims=True) ^ U(len(grams)))[0].view(np.int64)) if len(grams) else 0
 
 
-def bloom_slots(keys: np.ndarray):
+def bloom_slots(keys: np.ndarray, size: int):
+    """Three bit positions of each key in a filter of `size` bytes, a power of two."""
     for k in (1, 2, 3):
-        yield (mix(keys + STEPS[k]) >> U(40)).astype(np.int64)  # 24 bits
+        yield (mix(keys + STEPS[k]) >> U(64 - (8 * size).bit_length() + 1)).astype(np.int64)
 
 
 def bloom_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), bool)
-    for s in bloom_slots(keys):
+    for s in bloom_slots(keys, len(bits)):
         out &= (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
     return out
 
 
-def bloom_filter(rows: DataFrame) -> np.ndarray:
-    """The filter of all hashes in rows (one column of packed uint64 `keys`): partial filters of fixed size, OR-ed here."""
+def bloom_filter(rows: DataFrame, n: int = 0) -> np.ndarray:
+    """The filter of all hashes in rows (one column of packed uint64 `keys`): partial filters of fixed size, OR-ed here.
+
+    It has eight bits or more for each of n keys, between 2 and 16 MB; beyond that it lets more through, and loses none."""
+    size = min(MOST_BITS, max(BLOOM_BITS, 1 << (8 * n).bit_length())) // 8
 
     def part(batches):
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        bits = np.zeros(size, np.uint8)
         seen = False
         for b in batches:
             for v in b.column(0).to_pylist():
                 seen = True
-                for s in bloom_slots(np.frombuffer(v, U)):
+                for s in bloom_slots(np.frombuffer(v, U), size):
                     np.bitwise_or.at(bits, s >> 3, (1 << (s & 7)).astype(np.uint8))
         if seen:
             yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
 
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+    bits = np.zeros(size, np.uint8)
     for r in rows.coalesce(8).mapInArrow(part, "bits binary").toLocalIterator():
         bits |= np.frombuffer(r["bits"], np.uint8)
     return bits
@@ -116,11 +132,10 @@ def tile_of(keys: np.ndarray, tiles: int) -> np.ndarray:
     return ((keys >> U(32)) * U(tiles) >> U(32)).astype(np.int32)
 
 
-def dealt(tiles: int, keys: np.ndarray, *columns: np.ndarray):
+def dealt(tile: np.ndarray, keys: np.ndarray, *columns: np.ndarray):
     """One record batch with a row for each tile: sorted keys and their columns, as bytes."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    tile = tile_of(keys, tiles)
+    order = np.lexsort((keys, tile))
+    keys, tile = keys[order], tile[order]
     cut = np.flatnonzero(np.diff(tile, prepend=-1))
     ends = [*cut[1:].tolist(), len(keys)]
     packed = [[c[a:b].tobytes() for a, b in zip(cut.tolist(), ends)] for c in (keys, *(c[order] for c in columns))]
@@ -132,31 +147,31 @@ def unpack(pdf: pd.DataFrame, *types) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(pdf[c]), t) for c, t in zip(pdf.columns[1:], types)]
 
 
-
-
 def flush_at(sets: list) -> bool:
     return sum(map(len, sets)) >= 1 << 21
 
 
+FIRST = "row long, doc_id long, n long, set_id long, sig binary, tile int, keys binary, counts binary"
+
+
 def first_pass(tiles: int):
-    """Rows of two kinds: (tile null) a document's id, size and class; (tile set) shingles of prefixes in hash order, with counts."""
+    """Of (row, text, doc_id). Rows of two kinds: (tile null) a document's row, id, size and class; (tile set) shingles of prefixes in hash order, with counts."""
+    names = [c.split()[0] for c in FIRST.split(", ")]
 
     def run(batches):
         pend: list[np.ndarray] = []
 
         def blocks():
             keys, n = np.unique(np.concatenate(pend), return_counts=True)
-            b = dealt(tiles, keys, n.astype(np.int32))
-            k = b.num_rows
-            empty = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(k, pa.binary()), *b.columns], ["doc_id", "n", "set_id", "sig", "tile", "keys", "counts"])
+            b = dealt(tile_of(keys, tiles), keys, n.astype(np.int32))
+            empty = pa.nulls(b.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(b.num_rows, pa.binary()), *b.columns], names)
 
-        for ids, texts in text_slices(batches):
+        for rows, texts, ids in text_slices(batches, more=1):
             sets = shingle_sets(texts)
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
-                ["doc_id", "n", "set_id", "sig", "tile", "keys", "counts"],
+                [pa.array(rows, pa.int64()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names
             )
             pend += [s[: prefix_length(len(s))] for s in sets if len(s)]
             if flush_at(pend):
@@ -178,7 +193,10 @@ def hot_shingles(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def postings(tiles: int, hot):
-    """Prefixes in the common order: packed (shingle, set_id, size, share of hot shingles)."""
+    """Prefixes in the common order: packed (shingle, set_id, size, share of hot shingles).
+
+    What a flush holds of a heavy shingle goes to one of as many spare tiles; the shingle's own tile gets a mark (size 0),
+    so that the rest of the list is long too, however short it is."""
 
     def run(batches):
         seen: dict[int, None] = {}
@@ -187,7 +205,15 @@ def postings(tiles: int, hot):
 
         def block():
             keys, ids, n, heat = (np.concatenate(x) for x in zip(*pend))
-            return dealt(tiles, keys, ids, n, heat)
+            own, at, held = np.unique(keys, return_inverse=True, return_counts=True)
+            tile, heavy = tile_of(keys, tiles), held > HEAVY
+            spare = tiles + (mix(own[heavy] ^ U(pend[0][1][0].view(U))) % U(tiles)).astype(np.int32)
+            to = np.zeros(len(own), np.int32)
+            to[heavy] = spare
+            tile = np.where(heavy[at], to[at], tile)
+            mark = own[heavy]
+            zero = np.zeros(len(mark), np.int32)
+            return dealt(np.concatenate((tile, tile_of(mark, tiles))), np.concatenate((keys, mark)), np.concatenate((ids, zero.astype(np.int64))), np.concatenate((n, zero)), np.concatenate((heat, zero)))
 
         total = 0
         for _, texts in text_slices(batches):
@@ -222,7 +248,7 @@ def postings(tiles: int, hot):
 
 
 def lists_of(pdf: pd.DataFrame):
-    """Posting lists of two sets or more: (shingle, ids, sizes, heat), by size."""
+    """Posting lists of two rows or more: (shingle, ids, sizes, heat), by size; a mark (size 0) comes first."""
     keys, ids, n, heat = unpack(pdf[["tile", "keys", "c0", "c1", "c2"]], U, np.int64, np.int32, np.int32)
     order = np.lexsort((ids, n, keys))
     keys, ids, n, heat = keys[order], ids[order], n[order], heat[order]
@@ -241,10 +267,14 @@ def sorted_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidate_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (token null), and the members of long lists (b null, m the list's length)."""
+    """Pairs (token null), and the members of long lists (b null)."""
     left, right, long = [], [], []
+    spare = len(pdf) > 0 and bool(pdf["spare"].iloc[0])
     for token, ids, n, heat in lists_of(pdf):
-        if len(ids) <= SHORT_LIST:
+        marked = n[0] == 0
+        if marked:
+            ids, n, heat = ids[1:], n[1:], heat[1:]
+        if len(ids) <= SHORT_LIST and not (marked or spare):
             i, j = np.triu_indices(len(ids), 1)
             near = 4 * n[j] <= 5 * n[i]  # n rises
             left.append(ids[i[near]])
@@ -258,42 +288,59 @@ def candidate_rows(pdf: pd.DataFrame) -> pd.DataFrame:
             other = around[(around != hub) & (4 * np.maximum(n[around], n[hub]) <= 5 * np.minimum(n[around], n[hub]))]
             left.append(ids[other])
             right.append(np.full(len(other), ids[hub]))
-        long.append((np.full(len(ids), token, U).view(np.int64), ids, n, np.full(len(ids), len(ids), np.int32)))
+        long.append((np.full(len(ids), token, U).view(np.int64), ids, n))
     pairs = sorted_pairs(np.concatenate(left), np.concatenate(right)) if left else np.empty((0, 2), np.int64)
-    token, a, n, m = (np.concatenate(x) for x in zip(*long)) if long else (np.empty(0, np.int64),) * 4
-    out = pd.DataFrame({"a": np.concatenate((pairs[:, 0], a)), "b": pd.array(np.concatenate((pairs[:, 1], np.zeros(len(a), np.int64))), "Int64"), "token": pd.array(np.concatenate((np.zeros(len(pairs), np.int64), token)), "Int64"), "n": np.concatenate((np.zeros(len(pairs), np.int32), n)).astype(np.int32), "m": np.concatenate((np.zeros(len(pairs), np.int32), m)).astype(np.int32)})
-    out.loc[out.index >= len(pairs), "b"] = pd.NA
-    out.loc[out.index < len(pairs), "token"] = pd.NA
-    return out
-
+    token, a, n = (np.concatenate(x) for x in zip(*long)) if long else (np.empty(0, np.int64),) * 3
+    p, m = len(pairs), len(a)
+    b = pd.array(np.concatenate((pairs[:, 1], np.zeros(m, np.int64))), "Int64")
+    t = pd.array(np.concatenate((np.zeros(p, np.int64), token)), "Int64")
+    b[p:], t[:p] = pd.NA, pd.NA
+    return pd.DataFrame({"a": np.concatenate((pairs[:, 0], a)), "b": b, "token": t, "n": np.concatenate((np.zeros(p, np.int32), n)).astype(np.int32)})
+
+
+def open_pairs(every: bool):
+    """Of some blocks of long lists: pairs of near size in different components whose signatures allow a link.
+
+    Every such pair of a visitor and a member at home; or, where all are at home, the likeliest pairs until those of
+    the tile would connect all components that can be: fewer pairs than components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, pdf["c"] = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        root = np.arange(len(names))
+        found, done = [np.empty((0, 2), np.int64)], set()
+        for _, g in pdf.groupby(["token", "block"], sort=False):
+            home = g[g["home"]].sort_values(["n", "a"])
+            if g["c"].nunique() < 2 or not len(home):
+                continue
+            a, n, c = (home[x].to_numpy() for x in ("a", "n", "c"))
+            if every:
+                go = g[~g["home"]].sort_values(["n", "a"])
+            else:
+                go = home[home["c"] != home["c"].value_counts().index[0]]
+            if (same := hash((a.tobytes(), go["a"].to_numpy().tobytes()))) in done:
+                continue
+            done.add(same)
+            bits = np.frombuffer(b"".join(home["sig"]), U).reshape(len(a), SIG_WORDS)
+            low, high = (np.searchsorted(n, x, side=side) for x, side in ((-(-4 * go["n"].to_numpy() // 5), "left"), (go["n"].to_numpy() * 5 // 4, "right")))
+            for k, (v, vn, vc, sig) in enumerate(zip(go["a"].tolist(), go["n"].tolist(), go["c"].tolist(), go["sig"])):
+                at = slice(low[k], high[k])
+                at = low[k] + np.flatnonzero(c[at] != vc if every else root[c[at]] != root[vc])
+                if not len(at):
+                    continue
+                total = n[at].astype(np.int64) + vn
+                most = (total - np.bitwise_count(bits[at] ^ np.frombuffer(sig, U)).sum(axis=1, dtype=np.int64)) // 2
+                near = 100 * most >= 80 * (total - most)
+                at = at[near]
+                if not every and len(at):  # the likeliest member of each component
+                    at = at[np.argsort(-most[near] / total[near], kind="stable")]
+                    at = at[np.sort(np.unique(root[c[at]], return_index=True)[1])]
+                    root[np.isin(root, root[c[at]])] = root[vc]
+                if len(at):
+                    found.append(np.stack((np.minimum(a[at], v), np.maximum(a[at], v)), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the blocks of some long lists: pairs of near size in different components whose signatures allow a link."""
-    found, done = [np.empty((0, 2), np.int64)], set()
-    for _, g in pdf.groupby(["token", "i", "j"], sort=False):
-        if g["comp"].nunique() < 2:
-            continue
-        g = g.sort_values(["n", "a"])
-        a, n, comp, block = (g[c].to_numpy() for c in ("a", "n", "comp", "block"))
-        bits = np.frombuffer(b"".join(g["sig"]), U).reshape(len(a), SIG_WORDS)
-        two = bool(g["i"].iloc[0] != g["j"].iloc[0])
-        if (same := hash((a.tobytes(), block.tobytes(), two))) in done:
-            continue
-        done.add(same)
-        far = np.searchsorted(n, n * 5 // 4, side="right")
-        for k in range(len(a)):
-            other = slice(k + 1, far[k])
-            ok = comp[other] != comp[k]
-            if two:
-                ok &= block[other] != block[k]
-            at = k + 1 + np.flatnonzero(ok)
-            if len(at):
-                total = n[at].astype(np.int64) + n[k]
-                most = (total - np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)) // 2
-                b = a[at[100 * most >= 80 * (total - most)]]
-                found.append(np.stack((np.minimum(b, a[k]), np.maximum(b, a[k])), axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return run
 
 
 # ---- exact check
@@ -356,44 +403,53 @@ def linked_pairs(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def tiled(pairs: DataFrame) -> DataFrame:
-    """(tile, a, b): pairs of one neighbourhood share a tile; neighbourhoods of more than TILE_SETS classes are cut into blocks.
-
-    A class thus goes to few tiles, however many pairs it has, and no tile outgrows a few blocks."""
+def tiled(pairs: DataFrame, cls: DataFrame) -> DataFrame:
+    """(tile, a, b): pairs of one neighbourhood share a tile; neighbourhoods of more than TILE_SETS classes, or TILE_SHINGLES
+    shingles, are cut into blocks. A class thus goes to few tiles, however many pairs it has, and no tile outgrows a few blocks."""
     ends = pairs.select("a", "b").union(pairs.select("b", "a"))
     node = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    sized = node.groupBy("label").agg(F.count("*").alias("k"))
-    cell = materialize(node.join(sized, "label").select(F.col("a").alias("id"), F.xxhash64("label", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / TILE_SETS))).alias("cell")))
-    tiles = max(1, math.ceil(2 * cell.count() / TILE_SETS))
+    node = materialize(node.join(cls.select(F.col("set_id").alias("a"), "n"), "a"))
+    sized = materialize(node.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("w")))
+    cut = F.ceil(F.greatest(F.col("k") / TILE_SETS, F.col("w") / TILE_SHINGLES))
+    cell = materialize(hot_join(node, sized, "label", "k").select(F.col("a").alias("id"), F.xxhash64("label", F.pmod(F.xxhash64("a"), cut)).alias("cell"), "n"))
+    held = cell.agg(F.count("*"), F.sum("n")).first()
+    tiles = max(1, math.ceil(2 * held[0] / TILE_SETS), math.ceil(2 * (held[1] or 0) / TILE_SHINGLES))
     x, y = cell.select(F.col("id").alias("a"), F.col("cell").alias("x")), cell.select(F.col("id").alias("b"), F.col("cell").alias("y"))
-    return materialize(pairs.join(x, "a").join(y, "b").select(F.pmod(F.xxhash64("x", "y"), F.lit(tiles)).alias("tile"), "a", "b"))
+    out = materialize(pairs.join(x, "a").join(y, "b").select(F.pmod(F.xxhash64("x", "y"), F.lit(tiles)).alias("tile"), "a", "b"))
+    discard(node, sized, cell)
+    return out
 
 
 def needed(placed: DataFrame) -> DataFrame:
     return placed.select("tile", F.col("a").alias("set_id")).union(placed.select("tile", "b")).distinct()
 
 
-def link_pairs(docs: DataFrame, sigs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of classes that link, exactly; enough of them to connect what is connected."""
-    placed = tiled(pairs)
-    at = sigs.join(needed(placed), "set_id").groupBy("tile")
-    near = materialize(at.cogroup(reread(placed).groupBy("tile")).applyInPandas(near_pairs, "tile long, a long, b long"))
-    where = materialize(needed(near).groupBy("set_id").agg(F.collect_list("tile").alias("tiles")))
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(where.select("set_id"))))
+def link_pairs(docs: DataFrame, cls: DataFrame, pairs: DataFrame, bounded: bool = False) -> DataFrame:
+    """Those of the distinct pairs (a, b) of classes that link, exactly; enough of them to connect what is connected.
+
+    `bounded` pairs have passed the signatures already. Of docs (row, text) only the texts that cls names are hashed."""
+    placed = near = tiled(pairs, cls)
+    if not bounded:
+        at = cls.select("set_id", "n", "sig").join(needed(placed), "set_id").groupBy("tile")
+        near = materialize(at.cogroup(reread(placed).groupBy("tile")).applyInPandas(near_pairs, "tile long, a long, b long"))
+    where = materialize(needed(near).groupBy("set_id").agg(F.collect_list("tile").alias("tiles")).join(cls.select("set_id", "row"), "set_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(where.select("row")), where.count()))
 
     def sets(batches):
         seen: set[int] = set()
-        for _, texts in text_slices(batches):
-            found = [s for s in shingle_sets(texts) if len(s)]
-            ids = np.array([set_id(s) for s in found], np.int64)
-            keep = [k for k in np.flatnonzero(bloom_has(bits.value, ids.view(U))).tolist() if not (ids[k] in seen or seen.add(int(ids[k])))] if len(ids) else []
+        for rows, texts in text_slices(batches):
+            keep = np.flatnonzero(bloom_has(bits.value, np.array(rows, np.int64).view(U))).tolist()
+            keep = [k for k in keep if not (rows[k] in seen or seen.add(rows[k]))]
             if len(seen) > 1 << 20:
                 seen.clear()
-            if keep:
-                yield pa.RecordBatch.from_pydict({"set_id": pa.array(ids[keep]), "grams": pa.array([found[k].tobytes() for k in keep], pa.binary())})
+            for x, y in groups([texts[k] for k in keep], 1 << 21):
+                found = [s for s in shingle_sets([texts[k] for k in keep[x:y]]) if len(s)]
+                if found:
+                    yield pa.RecordBatch.from_pydict({"set_id": pa.array([set_id(s) for s in found], pa.int64()), "grams": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    grams = docs.mapInArrow(sets, "set_id long, grams binary").join(where, "set_id").select(F.explode("tiles").alias("tile"), "set_id", "grams")
+    grams = docs.mapInArrow(sets, "set_id long, grams binary").join(where.drop("row"), "set_id").select(F.explode("tiles").alias("tile"), "set_id", "grams")
     links = materialize(grams.groupBy("tile").cogroup(reread(near).groupBy("tile")).applyInPandas(linked_pairs, "a long, b long"))
+    bits.unpersist()
     discard(placed, near, where)
     return links
 
@@ -413,86 +469,143 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         up = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
         if label is None:
-            label = up.select(F.col("a").alias("id"), F.col("up").alias("comp"))
+            new = up.select(F.col("a").alias("id"), F.col("up").alias("comp"))
         else:
-            label = label.join(up, label["comp"] == up["a"], "left").select("id", F.coalesce("up", "comp").alias("comp"))
-        label = materialize(label)
+            new = label.join(up, label["comp"] == up["a"], "left").select("id", F.coalesce("up", "comp").alias("comp"))
+        new = materialize(new)
         to = up.select(F.col("a").alias("b"), F.col("up").alias("ub"))
         left = materialize(edges.join(up, "a").join(to, "b").filter("up <> ub").select(F.col("up").alias("a"), F.col("ub").alias("b")).distinct())
-        discard(edges)
-        edges = left
+        discard(edges, up, *([label] if label is not None else []))
+        edges, label = left, new
         if edges.isEmpty():
+            discard(edges)
             return label
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_df: int = 8) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs."""
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only their edges between components are contracted."""
+    alone = links.select("a").union(links.select("b")).distinct().join(comp, F.col("a") == F.col("id"), "left_anti").select(F.col("a").alias("id"), F.col("a").alias("comp"))
+    every = materialize(comp.union(alone))
+    x, y = reread(every).select(F.col("id").alias("a"), F.col("comp").alias("x")), reread(every).select(F.col("id").alias("b"), F.col("comp").alias("y"))
+    up = components(links.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = materialize(every.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
+    discard(every, up, comp, links)
+    return out
+
+
+def still_open(long: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (token, a, n) of long lists with their component, where their size band or a neighbouring one holds another
+    component; with the list's length k in blocks and its largest component, `major`."""
+    long = long.join(comp.select(F.col("id").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    long = materialize(long.withColumn("band", F.floor(F.log("n") / math.log(1.26))))  # sizes of linked sets are at most one band apart
+    spans = long.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    spans = spans.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lo", "hi")
+    mixed = spans.groupBy("token", "band").agg((F.min("lo") < F.max("hi")).alias("mixed")).filter("mixed").select("token", "band")
+    held = long.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("major"), F.ceil(F.sum("count") / BLOCK).cast("int").alias("k"))
+    mixed = mixed.join(held, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = materialize(long.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(mixed, ["token", "band", "salt"]).select("token", "a", "n", "comp", "major", "k"))
+    discard(long)
+    return out
+
+
+def proposals(members: DataFrame, cls: DataFrame, tiles: int, turn: int, every: bool) -> DataFrame:
+    """Distinct pairs (a, b) of open members: in the last round all that can link, before that some of each block."""
+    at_home = members.withColumn("block", F.pmod(F.xxhash64("a", F.lit(turn)), F.col("k")).cast("int")).withColumn("home", F.lit(True))
+    if every:
+        visit = members.filter("comp <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("home", F.lit(False))
+        at_home = at_home.unionByName(visit)
+    rows = at_home.drop("k", "major").join(cls.select(F.col("set_id").alias("a"), "sig"), "a")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("token", "block"), F.lit(4 * tiles)))
+    return materialize(rows.groupBy("tile").applyInPandas(open_pairs(every), "a long, b long").distinct())
+
+
+def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Of docs (row, text, doc_id), row being a hash of the row: the table (row, doc_id, n, set_id) of all rows, and that of
+    classes (set_id, copies, component, component_row), with the smallest id (nulls last) and its row in the component."""
     spark = small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tiles = max(1, math.ceil(size / 6 / 5 / TILE_POSTINGS))  # of about six bytes a word, a fifth is in the prefix
-    first = materialize(docs.mapInArrow(first_pass(tiles), "doc_id long, n long, set_id long, sig binary, tile int, keys binary, counts binary"))
-    member = first.filter("tile IS NULL").select("doc_id", "n", "set_id")
-    hot = materialize(first.filter("tile IS NOT NULL").select("tile", "keys", "counts").groupBy("tile").applyInPandas(hot_shingles, "level int, n long, keys binary"))
+    parts = min(MOST_PARTITIONS, max(tiles, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    texts = docs.select("row", "text")
+    first = materialize(docs.select("row", "text", "doc_id").mapInArrow(first_pass(tiles), FIRST))
+    member = first.filter("tile IS NULL").select("row", "doc_id", "n", "set_id")
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("row"))).alias("least")
+    cls = materialize(first.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"), least).select("set_id", "n", "sig", "copies", "least", "least.row"))
+
+    hot = materialize(first.filter("tile IS NOT NULL").select("tile", "keys", "counts").repartition(parts, "tile").groupBy("tile").applyInPandas(hot_shingles, "level int, n long, keys binary"))
     level = int(math.log2(hot_df))
     held = {r["level"]: r["n"] for r in hot.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # at most 40 rows
     while sum(n for k, n in held.items() if k >= level) > HOT_MOST:
         level += 1
     filter_ = spark.sparkContext.broadcast(bloom_filter(hot.filter(F.col("level") >= level).select("keys")))
-    posted = docs.mapInArrow(postings(tiles, filter_), "tile int, keys binary, c0 binary, c1 binary, c2 binary")
-    found = materialize(posted.groupBy("tile").applyInPandas(candidate_rows, "a long, b long, token long, n int, m int"))
+    posted = texts.mapInArrow(postings(tiles, filter_), "tile int, keys binary, c0 binary, c1 binary, c2 binary").withColumn("spare", F.col("tile") >= tiles)
+    found = materialize(posted.repartition(parts, "tile").groupBy("tile").applyInPandas(candidate_rows, "a long, b long, token long, n int"))
     pairs = materialize(found.filter("token IS NULL").select("a", "b").distinct())
-    sigs = first.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    links = link_pairs(docs, sigs, pairs)
-    comp = components(links)
+    comp = components(link_pairs(texts, cls, pairs))
+    discard(hot, pairs)
+
+    long = found.filter("token IS NOT NULL").select("token", "a", "n")
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        members = still_open(long, comp)
+        open_ = proposals(members, cls, tiles, turn, last)
+        links = None if open_.isEmpty() else link_pairs(texts, cls, open_, bounded=True)
+        if not last and (links is None or links.isEmpty()):
+            discard(open_)
+            open_ = proposals(members, cls, tiles, turn, True)
+            last = True
+            links = None if open_.isEmpty() else link_pairs(texts, cls, open_, bounded=True)
+        if links is not None and not links.isEmpty():
+            comp = joined(comp, links)
+        discard(members, open_)
+        if last:
+            break
+    discard(found)
+
+    label = materialize(cls.drop("sig").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")))
+    own = materialize(label.groupBy("comp").agg(F.count("*").alias("k"), F.min("least").alias("best")))
+    classes = materialize(hot_join(label, own, "comp", "k").select("set_id", "copies", F.col("best.doc_id").alias("component"), F.col("best.row").alias("component_row")))
+    discard(comp, label, own, cls)
+    return member, classes
 
-    long = found.filter("token IS NOT NULL").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
-    long = long.join(comp.select(F.col("id").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    long = long.withColumn("band", F.floor(F.log("n") / math.log(1.26)))  # sizes of linked sets are at most one band apart
-    spans = long.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spans = spans.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lo", "hi")
-    mixed = spans.groupBy("token", "band").agg((F.min("lo") < F.max("hi")).alias("mixed")).filter("mixed").select("token", "band")
-    long = long.join(mixed, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
-    long = long.join(sigs.select(F.col("set_id").alias("a"), "sig"), "a")
-    long = long.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("token", "a", "n", "comp", "block", "sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    long = long.withColumn("tile", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * tiles)))
-    open_ = materialize(long.groupBy("tile").applyInPandas(open_pairs, "a long, b long").distinct())
-    if not open_.isEmpty():
-        more = link_pairs(docs, sigs, open_)
-        comp = components(links.union(more))
-    discard(hot, found, pairs, open_)
 
-    root = member.join(comp.select(F.col("id").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    own = root.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    some = root.filter("n > 0")
-    least = some.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return some.join(least, "comp").select("doc_id", "n", "component_id").union(own).withColumnRenamed("n", "n_shingles")
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_df: int = 8) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    member, classes = row_classes(docs.withColumn("row", F.xxhash64("doc_id", "text")), hot_df)
+    some = hot_join(member.filter("n > 0"), classes, "set_id", "copies").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return some.union(member.filter("n = 0").select("doc_id", "n", "doc_id"))
 
 
-def parted(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that are not among ids (one column), and those that may be, by a Bloom filter of fixed size.
+def parted(docs: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose key is not among rows (one column), and those for which it may be, by a Bloom filter.
 
-    Only the latter, some false hits among them, need a join with ids; the texts of all others stay where they are."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(ids)))
+    Only the latter, some false hits among them, need a join with rows; the texts of all others stay where they are."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(rows), rows.count()))
 
     @F.pandas_udf("boolean")
     def hit(keys: pd.Series) -> pd.Series:
         return pd.Series(bloom_has(bits.value, keys.to_numpy(np.int64).view(U)))
 
-    found = hit(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    found = hit(F.col(key))
     return docs.filter(~found), docs.filter(found)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are linked with a smaller id; of rows that repeat an id one stays. Rows with a null id stay."""
-    found = materialize(similar_classes(docs, id_col, text_col))
-    drop = materialize(found.filter("component_id < doc_id").select("doc_id").distinct())
-    clear, maybe = parted(docs, drop, id_col)
-    kept = clear.unionByName(maybe.join(drop, maybe[id_col] == drop["doc_id"], "left_anti"))
-    again = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    clear, maybe = parted(kept, again, id_col)
-    once = clear.unionByName(maybe.join(again, maybe[id_col] == again["doc_id"], "left_anti"))
-    other = reread(again)
-    return once.unionByName(maybe.join(other, maybe[id_col] == other["doc_id"], "left_semi").dropDuplicates([id_col]))
+    """One row of docs for each component: that of the smallest id, nulls last, and of rows that share the id the one with
+    the smallest hash over all columns (map columns aside). Rows with an empty set all stay. Rows are told apart by that
+    hash, so an id that repeats with other texts loses none of them, and copies with a null id go."""
+    key = "row"
+    while key in [c.lower() for c in docs.columns]:
+        key = f"_{key}"
+    flat = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumn(key, F.xxhash64(*flat))
+    member, classes = row_classes(marked.select(F.col(key).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id")))
+    found = materialize(hot_join(member.filter("n > 0"), classes, "set_id", "copies").select("row", (F.col("row") == F.col("component_row")).alias("stays")))
+    drop = materialize(found.filter(~F.col("stays")).select(F.col("row").alias(key)).distinct())
+    again = materialize(found.filter("stays").groupBy("row").count().filter("count > 1").select(F.col("row").alias(key)))
+    discard(member, classes, found)
+    clear, maybe = parted(marked, drop.union(again), key)
+    maybe = maybe.join(drop, key, "left_anti")
+    once = maybe.join(again, key, "left_anti").unionByName(maybe.join(reread(again), key, "left_semi").dropDuplicates([key]))
+    return clear.unionByName(once).drop(key)
