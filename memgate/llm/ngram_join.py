@@ -15,7 +15,7 @@ Exact, up to collisions of 64-bit hashes, and without all-pairs work:
 5. Long lists come back with the components found so far; only pairs between different components are still open, and
    only members stay that have another component among the sizes they can link with. Lists are cut into blocks of
    BLOCK members, anew in each round, and a block proposes the best pair between components that its signatures allow,
-   fewer pairs than it has components. When a round of proposals brings nothing, or after ROUNDS of them, a last round
+   fewer pairs than it has components. When a round of proposals brings little, or after ROUNDS of them, a last round
    takes every open pair: members outside a list's largest component visit all blocks of the list. It makes the result
    exact; few pairs are left for it, as those that link are in one component by then.
 6. Components come from repeated contraction of the links with the smallest neighbour.
@@ -545,21 +545,22 @@ def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]
     discard(hot, pairs)
 
     long = found.filter("token IS NOT NULL").select("token", "a", "n")
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
+    turn, last = 0, False
+    while not last:
         members = still_open(long, comp)
+        last = turn == ROUNDS
         open_ = proposals(members, cls, tiles, turn, last)
-        links = None if open_.isEmpty() else link_pairs(texts, cls, open_, bounded=True)
-        if not last and (links is None or links.isEmpty()):
+        if not last and open_.isEmpty():  # of blocks of their own; the last round lets all blocks meet
             discard(open_)
-            open_ = proposals(members, cls, tiles, turn, True)
             last = True
-            links = None if open_.isEmpty() else link_pairs(texts, cls, open_, bounded=True)
-        if links is not None and not links.isEmpty():
-            comp = joined(comp, links)
+            open_ = proposals(members, cls, tiles, turn, last)
+        if not open_.isEmpty():
+            links = link_pairs(texts, cls, open_, bounded=True)
+            brought = links.count()
+            if brought:
+                comp = joined(comp, links)
+            turn = ROUNDS if 16 * brought < open_.count() else turn + 1
         discard(members, open_)
-        if last:
-            break
     discard(found)
 
     label = materialize(cls.drop("sig").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")))
