@@ -52,6 +52,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hot_join(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
     """big joined with small, a materialized table that has each key once and, in `count`, how many rows of big hold it.
 

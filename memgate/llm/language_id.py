@@ -17,40 +17,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memgate.llm._shared import small_batches, text_slices
+from memgate.llm._shared import materialize, small_batches, text_slices
 
 TOP = 400
 PER_LANG = 2000
-#: Languages beyond so many are an error: profiles are broadcast.
-MOST_LANGS = 1000
+#: The sample's bounds, one row a language, are broadcast up to so many languages (below 10 MB); beyond, the join shuffles.
+BROADCAST_LANGS = 100_000
+SALTS = 64
 _state: dict = {}
 
 
 def letter_codes() -> np.ndarray:
-    """For each code point 1..1023 if it is a letter, else 0; code points beyond share codes."""
+    """For each code point: itself if it is a letter, else 0."""
     if "codes" not in _state:
-        _state["codes"] = np.array([i % 1023 + 1 if chr(i).isalpha() else 0 for i in range(0x110000)], np.int32)
+        _state["codes"] = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], np.int64)
     return _state["codes"]
 
 
 def gram_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text, coded, and their counts: 3-grams with a letter in the middle, the 2-grams they begin with, the letters."""
+    """Distinct n-grams of a text, coded by 21 bits a letter, and their counts: 3-grams with a letter in the middle, and
+    (as negative numbers) the 2-grams they begin with and the letters."""
     c = letter_codes()[np.frombuffer(raw.decode().lower().encode("utf-32-le"), np.uint32)]
-    edge = np.zeros(1, np.int32)
+    edge = np.zeros(1, np.int64)
     c = np.concatenate((edge, c, edge))
     keep = c != 0
     keep[1:] |= c[:-1] != 0
     c = c[keep]
     if len(c) < 2:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     if c[0]:
         c = np.concatenate((edge, c))
-    tri = ((c[:-2] << 20) | (c[1:-1] << 10) | c[2:])[c[1:-1] != 0]
+    tri = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[c[1:-1] != 0]
     g, n = np.unique(tri, return_counts=True)
-    pair, at = np.unique(g >> 10, return_inverse=True)
-    one, to = np.unique(pair & 1023, return_inverse=True)
+    pair, at = np.unique(g >> 21, return_inverse=True)
+    one, to = np.unique(pair & 0x1FFFFF, return_inverse=True)
     n2 = np.bincount(at, n).astype(np.int64)
-    return np.concatenate((g, pair + np.int32(1 << 30), one + np.int32((1 << 30) + (1 << 20)))), np.concatenate((n, n2, np.bincount(to, n2).astype(np.int64)))
+    return np.concatenate((g, -pair, -one - (1 << 62))), np.concatenate((n, n2, np.bincount(to, n2).astype(np.int64)))
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -69,11 +71,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Profiles by language. Of each language the per_lang rows of smallest (hash, id) are read."""
     small_batches(docs.sparkSession)
     train = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    least = train.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
-    last = least.groupBy("lang").agg(F.max("h").alias("last"))
-    if last.limit(MOST_LANGS + 1).count() > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    sample = train.join(F.broadcast(last), "lang").filter("h <= last").select("lang", "text")
+    # first within salts of a language, so that no task gets the rows of a frequent one
+    least = train.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
+    for by in (("lang", "salt"), ("lang",)):
+        least = least.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= per_lang).drop("r")
+    last = materialize(least.groupBy("lang").agg(F.max("h").alias("last")))
+    sample = train.join(F.broadcast(last) if last.count() <= BROADCAST_LANGS else last, "lang").filter("h <= last").select("lang", "text")
 
     def count(batches):
         for langs, texts in text_slices(batches):
@@ -81,26 +84,27 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], ["lang", "grams", "counts"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, at = np.unique(np.frombuffer(b"".join(pdf["grams"]), np.int32), return_inverse=True)
+        g, at = np.unique(np.frombuffer(b"".join(pdf["grams"]), np.int64), return_inverse=True)
         n = np.bincount(at, np.frombuffer(b"".join(pdf["counts"]), np.int64)).astype(np.int64)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "profile": [ranked(g, n).tobytes()]})
 
     rows = sample.mapInArrow(count, "lang string, grams binary, counts binary").groupBy("lang").applyInPandas(merge, "lang string, profile binary").collect()
-    return {r["lang"]: np.frombuffer(r["profile"], np.int32) for r in sorted(rows, key=lambda r: r["lang"])}
+    return {r["lang"]: np.frombuffer(r["profile"], np.int64) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (1: the same ranks, 0: nothing shared) for every row."""
     spark = small_batches(docs.sparkSession)
     names = list(profiles)
-    every = np.unique(np.concatenate([*profiles.values(), np.empty(0, np.int32)]))
-    place = np.full((len(names), len(every) + 1), -1, np.int32)
-    for k, p in enumerate(profiles.values()):
-        place[k, np.searchsorted(every, p)] = np.arange(len(p))
-    shared = spark.sparkContext.broadcast((every, place))
+    # every n-gram of a profile with its language and rank, sorted by n-gram
+    grams = np.concatenate([*profiles.values(), np.empty(0, np.int64)])
+    lang = np.repeat(np.arange(len(names)), [len(p) for p in profiles.values()])
+    rank = np.concatenate([*(np.arange(len(p)) for p in profiles.values()), np.empty(0, np.int64)])
+    order = np.argsort(grams, kind="stable")
+    shared = spark.sparkContext.broadcast((grams[order], lang[order], rank[order]))
 
     def run(batches):
-        every, place = shared.value
+        grams, lang, rank = shared.value
         for ids, texts in text_slices(batches):
             pred, score = [], []
             for t in texts:
@@ -109,13 +113,14 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
                     pred.append("und")
                     score.append(0.0)
                     continue
-                at = np.searchsorted(every, top)
-                at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != top)] = len(every)
-                rank = place[:, at]
-                out = np.where(rank < 0, TOP, np.abs(rank - np.arange(len(top)))).sum(axis=1)
-                k = int(out.argmin())
+                lo, hi = np.searchsorted(grams, top, "left"), np.searchsorted(grams, top, "right")
+                n = hi - lo
+                own = np.repeat(np.arange(len(top)), n)
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                near = np.bincount(lang[at], TOP - np.abs(rank[at] - own), minlength=len(names))
+                k = int(near.argmax())  # the least distance: TOP for each n-gram but those
                 pred.append(names[k])
-                score.append(1 - float(out[k]) / (TOP * len(top)))
+                score.append(float(near[k]) / (TOP * len(top)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")

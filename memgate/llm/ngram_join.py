@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgate.llm._shared import LOWER, STEPS, WHITE, U, WordHasher, discard, groups, hot_join, materialize, mix, reread, small_batches, text_slices, window_hashes
+from memgate.llm._shared import LOWER, STEPS, WHITE, U, WordHasher, discard, free_name, groups, hot_join, materialize, mix, reread, small_batches, text_slices, window_hashes
 
 N = 5
 #: Bits of the Bloom filter of hot shingles, and bounds of those of filters of ids, by their number.
@@ -596,9 +596,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row of docs for each component: that of the smallest id, nulls last, and of rows that share the id the one with
     the smallest hash over all columns (map columns aside). Rows with an empty set all stay. Rows are told apart by that
     hash, so an id that repeats with other texts loses none of them, and copies with a null id go."""
-    key = "row"
-    while key in [c.lower() for c in docs.columns]:
-        key = f"_{key}"
+    key = free_name(docs, "row")
     flat = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     marked = docs.withColumn(key, F.xxhash64(*flat))
     member, classes = row_classes(marked.select(F.col(key).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id")))

@@ -5,7 +5,8 @@ rule, shrunk by a beta prior that is fitted to all hosts; a host whose lower pos
 rejected with all its documents.
 
 Defined cases: a null text has no words and fails; a null host is never judged as a host; repeated rows and ids are
-judged row by row; an empty table gives an empty result; other columns are neither read nor needed.
+judged row by row; an empty table gives an empty result; other columns, whatever their names, are not touched; texts of
+any length are counted whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memgate.llm._shared import materialize
+from memgate.llm._shared import free_name, materialize
 
 BLANK = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -47,6 +48,19 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(count)
 
 
+def rule_flags(text: Column) -> Column:
+    """struct(base, soft): whether a text fails the base rule, and that or one of the softer ones."""
+    text = F.coalesce(text, F.lit(""))
+    symbols = F.regexp_count(text, F.lit("[#*$%&|<>]"))
+
+    def flags(w: Column) -> Column:
+        n = F.size(w)
+        base = (n < 20) | (100 * repeat_words(w) > 30 * n)
+        return let(base, lambda b: F.struct(b.alias("base"), (b | (10 * symbols > n) | (F.length(F.array_join(w, "")) > 12 * n)).alias("soft")))
+
+    return let(words_of(text), flags)
+
+
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One narrow row per document: id, host, counts, base_failed and soft_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -90,10 +104,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.8) -> DataFrame:
-    """The rows of docs that judge() keeps, all columns as they were. The text is not shuffled: the counts are taken anew, and only rejected hosts are joined."""
-    bad = materialize(host_verdicts(rule_counts(docs, id_col, text_col, host_col).select("host", "soft_failed"), host_limit).filter("host_rejected").select(F.col("host").alias("_host")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    failed = let(words_of(text), lambda w: let(F.size(w), lambda n: (n < 20) | (100 * repeat_words(w) > 30 * n)))
+    """The rows of docs that judge() keeps, all columns as they were.
+
+    Each text is counted once: rows are written with their flags, those that fail the base rule without their text; the
+    hosts are judged on the flags, and rejected hosts leave by an anti join that does not move the text."""
+    base, soft = free_name(docs, "base_failed"), free_name(docs, "soft_failed")
+    flags = rule_flags(F.col(text_col))
+    marked = docs.withColumn(base, flags).withColumns({soft: F.col(f"{base}.soft"), base: F.col(f"{base}.base")})
+    kind = docs.schema[text_col].dataType
+    marked = materialize(marked.withColumn(text_col, F.when(~F.col(base), F.col(text_col)).cast(kind)))
+    bad = host_verdicts(marked.select(F.col(host_col).alias("host"), F.col(soft).alias("soft_failed")), host_limit)
+    host = free_name(docs, "host")
+    bad = materialize(bad.filter("host_rejected").select(F.col("host").alias(host)))
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    return docs.filter(~failed).join(bad, F.col(host_col) == F.col("_host"), "left_anti")
+    return marked.filter(~F.col(base)).join(bad, F.col(host_col) == F.col(host), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -26,7 +26,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-SHARD_BYTES = 16 << 20
+#: Small shards of some hundred texts, so that tables of any size split.
+SHARD_BYTES = 256 << 10
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +44,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive of all pages against a replica in which every 97th page has lost its first character to a '#'."""
-    pages = table(spark, sf_dir, "pages")
-    hurt = F.when(F.col("page_id") % 97 == 13, F.overlay("html", F.lit("#"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
-    first, second = warc.layout(pages), warc.layout(pages.withColumn("html", hurt))
-    return warc.audit(first, second).select(F.col("id").alias("page_id"), "ordinal", "start", "length", "digest", "corrupt")
+    """An archive of all pages against a replica: every 97th page has its first character changed to a '#', every 89th is
+    lost, and a copy of every 83rd has come in under a negative id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    i = F.col("page_id")
+    hurt = F.when(i % 97 == 13, F.overlay("html", F.lit("#"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
+    kept = pages.withColumn("html", hurt).filter((i % 89 != 7) | i.isNull())
+    come = pages.filter(i % 83 == 5).withColumn("page_id", -1 - i)
+    found = warc.audit(warc.layout(pages), warc.layout(kept.unionByName(come)))
+    return found.withColumnRenamed("id", "page_id")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +76,10 @@ ORACLES = {
     "op4_sharding": f"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS k FROM documents),
-n AS (SELECT depth, k >> (60 - depth) AS p, sum(bytes)::BIGINT AS b FROM d, (SELECT unnest(range(0, 31))::INT AS depth) GROUP BY ALL),
-f AS (SELECT d.*, min(n.depth) AS depth FROM d, n WHERE n.p = d.k >> (60 - n.depth) AND n.b <= {SHARD_BYTES} GROUP BY ALL)
-SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(k >> (60 - f.depth)), f.depth, '0') END AS shard, f.depth, b AS shard_bytes, false AS oversize
+n AS (SELECT depth, k >> (60 - depth) AS p, sum(bytes)::BIGINT AS b, min(k) = max(k) AS one FROM d, (SELECT unnest(range(0, 61))::INT AS depth) GROUP BY ALL),
+r AS (SELECT DISTINCT k FROM d), q AS (SELECT k, min(n.depth) AS depth FROM r, n WHERE n.p = k >> (60 - n.depth) AND (n.b <= {SHARD_BYTES} OR one) GROUP BY k),
+f AS (SELECT d.*, q.depth FROM d JOIN q USING (k))
+SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(k >> (60 - f.depth)), f.depth, '0') END AS shard, f.depth, b AS shard_bytes, b > {SHARD_BYTES} AS oversize
 FROM f, n WHERE n.depth = f.depth AND n.p = f.k >> (60 - f.depth)
 """,
     "op6_url_filter": r"""
@@ -82,7 +88,7 @@ WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN translate(regexp_extr
 r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 m AS (SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM u),
 j AS (SELECT m.*, v FROM m LEFT JOIN r ON m.rule = r.rule),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(v) AS n, count(CASE WHEN v = 'block' THEN 1 END) AS x FROM j GROUP BY host),
+h AS (SELECT host, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix, count(v) AS n, count(CASE WHEN v = 'block' THEN 1 END) AS x FROM j GROUP BY host),
 t AS (SELECT coalesce(sum(x) / nullif(sum(n), 0)::DOUBLE, 0) AS p0 FROM h),
 s0 AS (SELECT suffix, p0, sum(n) AS n, sum(x) AS x FROM h, t GROUP BY ALL),
 s1 AS (SELECT (sum((x - n * p0) ** 2) - sum(n * p0 * (1 - p0))) / nullif(sum(n * (n - 1) * p0 * (1 - p0)), 0) AS rho FROM s0),
@@ -98,13 +104,17 @@ h2 AS (SELECT coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE greatest(1.0, least(1
 q AS (SELECT host, (x + pd * w) / (n + w) AS ph, n + w AS size FROM h0, h2)
 SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN ph - 2 * sqrt(ph * (1 - ph) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(ph, 6) AS rate
 FROM j JOIN q ON j.host = q.host
-""",
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in url_rules.SUFFIXES)),
     "op7_warc_fixity": r"""
-WITH r AS (SELECT page_id, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
-s AS (SELECT page_id, html, sha256(rec) AS digest, strlen(rec)::BIGINT AS length FROM r)
-SELECT page_id, row_number() OVER w - 1 AS ordinal, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS start, length, digest,
-    coalesce(page_id % 97 = 13 AND html <> '' AND html[1] <> '#', false) AS corrupt FROM s WINDOW w AS (ORDER BY page_id, digest)
+WITH p AS (SELECT page_id, url, html FROM pages),
+t AS (SELECT page_id, url, CASE WHEN page_id % 97 = 13 AND html <> '' THEN '#' || html[2:] ELSE html END AS html FROM p WHERE page_id % 89 <> 7 OR page_id IS NULL UNION ALL SELECT -1 - page_id, url, html FROM p WHERE page_id % 83 = 5),
+b AS (SELECT 1 AS side, * FROM p UNION ALL SELECT 2, * FROM t),
+r AS (SELECT side, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM b),
+s AS (SELECT side, page_id, sha256(rec) AS digest, strlen(rec)::BIGINT AS length FROM r),
+o AS (SELECT *, row_number() OVER w - 1 AS ordinal, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS start FROM s WINDOW w AS (PARTITION BY side ORDER BY page_id NULLS FIRST, digest))
+SELECT x.page_id, x.ordinal, x.start, x.length, x.digest, CASE WHEN x.digest = y.digest THEN 'same' WHEN y.digest IS NULL THEN 'lost' ELSE 'changed' END AS state FROM o x LEFT JOIN o y ON y.side = 2 AND x.page_id = y.page_id WHERE x.side = 1
+UNION ALL SELECT page_id, ordinal, start, length, digest, 'added' FROM o WHERE side = 2 AND page_id NOT IN (SELECT page_id FROM p)
 """,
     "op10_licence_scan": rf"""
 WITH l(licence, t) AS (VALUES {_TEMPLATES}),

@@ -9,7 +9,8 @@ towards its suffix, host towards its domain; each level's prior weight is fitted
 blocked when the lower bound of its host's posterior, mean - 2 sd, passes `limit`.
 
 Defined cases: null urls and urls without `://` have empty host and path and no host reputation beyond the overall
-rate; a host of one label is its own domain and suffix; repeated rows are judged one by one.
+rate; a host of one label is its own domain and suffix; repeated rows are judged one by one; of rules of equal length the
+first by name wins; urls of any length are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from memgate.llm._shared import materialize
 
 #: The rules of the query: (rule, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Public suffixes of two labels under which domains are registered.
+SUFFIXES = tuple("ac.uk co.uk gov.uk org.uk com.au net.au org.au edu.au co.nz org.nz co.jp ne.jp or.jp ac.jp com.br org.br gov.br co.in org.in com.cn net.cn org.cn edu.cn com.mx com.ar co.za com.tr com.tw org.tw com.sg com.hk co.kr or.kr co.il".split())
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,11 +37,14 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the last two labels, or three where the last two are a suffix of SUFFIXES."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def parted(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
@@ -74,15 +80,21 @@ def weight_of(groups: DataFrame, prior: Column) -> Column:
 def reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     """host, rate, low for every host of hosts. outcomes: host, n, x (labelled pages, blocked ones) by host."""
     every = hosts.join(outcomes, "host", "left").na.fill(0, ["n", "x"]).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    total = outcomes.agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.0)).alias("prior"))
-    rated = every.crossJoin(F.broadcast(total))  # one row
-    for level in ("suffix", "domain", "host"):
-        own = rated.groupBy(level, "prior").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        w = own.agg(weight_of(own, F.col("prior")).alias("w"))  # one row
-        post = own.crossJoin(F.broadcast(w)).select(level, ((F.col("x") + F.col("prior") * F.col("w")) / (F.col("n") + F.col("w"))).alias("mean"), (F.col("n") + F.col("w")).alias("size"))
-        rated = rated.drop("prior", "size").join(post, level).withColumnRenamed("mean", "prior")
-    low = F.col("prior") - 2 * F.sqrt(F.col("prior") * (1 - F.col("prior")) / (F.col("size") + 1))
-    return rated.select("host", F.col("prior").alias("rate"), low.alias("low"))
+    rate = outcomes.agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.0))).first()[0]
+    every = materialize(every)
+    own = materialize(every.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
+    top = shrunk(own.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).withColumn("prior", F.lit(rate)))
+    mid = shrunk(own.join(top.select("suffix", F.col("mean").alias("prior")), "suffix"))
+    low = shrunk(every.join(mid.select("suffix", "domain", F.col("mean").alias("prior")), ["suffix", "domain"]))
+    bound = F.col("mean") - 2 * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1))
+    return low.select("host", F.col("mean").alias("rate"), bound.alias("low"))
+
+
+def shrunk(groups: DataFrame) -> DataFrame:
+    """Groups (n, x, prior), written once, with the posterior's mean and size."""
+    groups = materialize(groups)
+    w = groups.agg(weight_of(groups, F.col("prior"))).first()[0]
+    return groups.withColumns({"mean": (F.col("x") + F.col("prior") * w) / (F.col("n") + w), "size": F.col("n") + w})
 
 
 #: A broadcast of host reputations takes at most so many hosts (below 10 MB).
