@@ -23,11 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, few: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the session's JVM ends; discard() frees them earlier."""
+    `few` is for tables of ids: they are written by no more tasks than run at a time, twice over, as files cost more than
+    their rows. The files go when the session's JVM ends; discard() frees them earlier."""
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/memgate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -53,7 +53,8 @@ HEAVY = 64
 BLOCK = 2048
 ROUNDS = 4
 SALTS = 16
-SIG_WORDS = 16
+#: Words of the signature of a set of up to FIRST_BAND shingles; each band of twice the size has twice as many.
+SIG_WORDS, FIRST_BAND = 16, 2048
 _state: dict = {}
 
 
@@ -155,7 +156,7 @@ FIRST = "row long, doc_id long, n long, set_id long, sig binary, tile int, keys
 
 
 def first_pass(tiles: int):
-    """Of (row, text, doc_id). Rows of two kinds: (tile null) a document's row, id, size and class; (tile set) shingles of prefixes in hash order, with counts."""
+    """Of (row, text, doc_id). Rows of two kinds: (tile null) a document's row, id, size and class; (tile set) shingles that a flush of prefixes in hash order has twice or more, with counts."""
     names = [c.split()[0] for c in FIRST.split(", ")]
 
     def run(batches):
@@ -163,6 +164,7 @@ def first_pass(tiles: int):
 
         def blocks():
             keys, n = np.unique(np.concatenate(pend), return_counts=True)
+            keys, n = keys[n > 1], n[n > 1]  # the order only needs to know what is frequent
             b = dealt(tile_of(keys, tiles), keys, n.astype(np.int32))
             empty = pa.nulls(b.num_rows, pa.int64())
             return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(b.num_rows, pa.binary()), *b.columns], names)
@@ -171,7 +173,7 @@ def first_pass(tiles: int):
             sets = shingle_sets(texts)
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names
+                [pa.array(rows, pa.int64()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(signatures(sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names
             )
             pend += [s[: prefix_length(len(s))] for s in sets if len(s)]
             if flush_at(pend):
@@ -213,7 +215,7 @@ def postings(tiles: int, hot):
             tile = np.where(heavy[at], to[at], tile)
             mark = own[heavy]
             zero = np.zeros(len(mark), np.int32)
-            return dealt(np.concatenate((tile, tile_of(mark, tiles))), np.concatenate((keys, mark)), np.concatenate((ids, zero.astype(np.int64))), np.concatenate((n, zero)), np.concatenate((heat, zero)))
+            return dealt(np.concatenate((tile, tile_of(mark, tiles))), np.concatenate((keys, mark)), np.concatenate((ids, zero.astype(np.int64))), np.concatenate((n, zero)), np.concatenate((heat, zero.astype(np.uint8))))
 
         total = 0
         for _, texts in text_slices(batches):
@@ -233,7 +235,7 @@ def postings(tiles: int, hot):
                 p = prefix_length(len(s))
                 cold = s[~is_hot][:p]
                 keys = cold if len(cold) == p else np.concatenate((cold, s[is_hot][: p - len(cold)]))
-                pend.append((keys, np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.full(p, is_hot.mean() * 1000, np.int32)))
+                pend.append((keys, np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.full(p, is_hot.mean() * 255, np.uint8)))
                 total += p
             if total >= 1 << 20:
                 yield block()
@@ -249,7 +251,7 @@ def postings(tiles: int, hot):
 
 def lists_of(pdf: pd.DataFrame):
     """Posting lists of two rows or more: (shingle, ids, sizes, heat), by size; a mark (size 0) comes first."""
-    keys, ids, n, heat = unpack(pdf[["tile", "keys", "c0", "c1", "c2"]], U, np.int64, np.int32, np.int32)
+    keys, ids, n, heat = unpack(pdf[["tile", "keys", "c0", "c1", "c2"]], U, np.int64, np.int32, np.uint8)
     order = np.lexsort((ids, n, keys))
     keys, ids, n, heat = keys[order], ids[order], n[order], heat[order]
     new = np.ones(len(keys), bool)
@@ -284,7 +286,7 @@ def candidate_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         for k in np.unique(band):  # the hub of a band: most hot shingles, so most likely the source of the copies
             own = np.flatnonzero(band == k)
             around = np.flatnonzero(np.abs(band - k) <= 1)
-            hub = own[np.lexsort((ids[own], -heat[own]))[0]]
+            hub = own[np.lexsort((ids[own], 255 - heat[own]))[0]]
             other = around[(around != hub) & (4 * np.maximum(n[around], n[hub]) <= 5 * np.minimum(n[around], n[hub]))]
             left.append(ids[other])
             right.append(np.full(len(other), ids[hub]))
@@ -320,15 +322,15 @@ def open_pairs(every: bool):
             if (same := hash((a.tobytes(), go["a"].to_numpy().tobytes()))) in done:
                 continue
             done.add(same)
-            bits = np.frombuffer(b"".join(home["sig"]), U).reshape(len(a), SIG_WORDS)
+            bits, here = Signatures([*home["sig"], *go["sig"]]), len(a)
             low, high = (np.searchsorted(n, x, side=side) for x, side in ((-(-4 * go["n"].to_numpy() // 5), "left"), (go["n"].to_numpy() * 5 // 4, "right")))
-            for k, (v, vn, vc, sig) in enumerate(zip(go["a"].tolist(), go["n"].tolist(), go["c"].tolist(), go["sig"])):
+            for k, (v, vn, vc) in enumerate(zip(go["a"].tolist(), go["n"].tolist(), go["c"].tolist())):
                 at = slice(low[k], high[k])
                 at = low[k] + np.flatnonzero(c[at] != vc if every else root[c[at]] != root[vc])
                 if not len(at):
                     continue
                 total = n[at].astype(np.int64) + vn
-                most = (total - np.bitwise_count(bits[at] ^ np.frombuffer(sig, U)).sum(axis=1, dtype=np.int64)) // 2
+                most = (total - bits.differ(np.full(len(at), here + k), at)) // 2
                 near = 100 * most >= 80 * (total - most)
                 at = at[near]
                 if not every and len(at):  # the likeliest member of each component
@@ -346,31 +348,70 @@ def open_pairs(every: bool):
 # ---- exact check
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of SIG_WORDS * 64 bits: each shingle flips the bit of its hash's top bits.
+def sig_band(n: int) -> int:
+    return max(0, (max(n, 1) - 1).bit_length() - FIRST_BAND.bit_length() + 1)
+
+
+def signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap of each set, by its size band: each shingle flips the bit of its hash's top bits.
 
     Shared shingles flip the same bits in both bitmaps, so no more bits differ than shingles do; unlike bits that are
     only set, flipped ones still differ where a set has more shingles than the bitmap has bits."""
-    width = SIG_WORDS * 64
-    if not sets:
-        return np.zeros((0, SIG_WORDS), U)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bit = (np.concatenate(sets) >> U(64 - int(math.log2(width)))).astype(np.int64)
-    odd = np.bincount(row * width + bit, minlength=len(sets) * width) & 1
-    return np.packbits(odd.astype(bool).reshape(len(sets), width), axis=1).view(U)
+    out = [b""] * len(sets)
+    for band in {sig_band(len(s)) for s in sets}:
+        own = [k for k, s in enumerate(sets) if sig_band(len(s)) == band]
+        width = SIG_WORDS * 64 << band
+        row = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])
+        bit = (np.concatenate([sets[k] for k in own]) >> U(64 - int(math.log2(width)))).astype(np.int64)
+        odd = np.bincount(row * width + bit, minlength=len(own) * width) & 1
+        for k, bits in zip(own, np.packbits(odd.astype(bool).reshape(len(own), width), axis=1)):
+            out[k] = bits.tobytes()
+    return out
+
+
+class Signatures:
+    """Bitmaps of some sets, also folded to the widths of the smaller bands: neighbouring bits, XOR-ed, are the next smaller bitmap."""
+
+    def __init__(self, sigs):
+        self.band = np.array([(len(s) // (8 * SIG_WORDS)).bit_length() - 1 for s in sigs], int)
+        self.at: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        carry, own = None, np.empty(0, int)
+        for band in range(int(self.band.max(initial=0)), -1, -1):
+            here = np.flatnonzero(self.band == band)
+            fresh = np.frombuffer(b"".join(sigs[k] for k in here.tolist()), np.uint8).reshape(len(here), 8 * SIG_WORDS << band)
+            if carry is not None and len(own):
+                x = np.unpackbits(carry, axis=1)
+                fresh = np.concatenate((np.packbits(x[:, ::2] ^ x[:, 1::2], axis=1), fresh))
+                here = np.concatenate((own, here))
+            carry, own = fresh, here
+            place = np.full(len(self.band), -1)
+            place[here] = np.arange(len(here))
+            self.at.insert(0, place)
+            self.bits.insert(0, np.ascontiguousarray(fresh).view(U))
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many bits at least differ between sets x and y (indexes), by the widest bitmap that both have."""
+        out = np.empty(len(x), np.int64)
+        common = np.minimum(self.band[x], self.band[y])
+        for band in np.unique(common).tolist():
+            k = np.flatnonzero(common == band)
+            bits, at = self.bits[band], self.at[band]
+            out[k] = np.bitwise_count(bits[at[x[k]]] ^ bits[at[y[k]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def near_pairs(key, sigs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a tile whose overlap can reach the threshold by the bit counts of their signatures."""
     sigs = sigs.sort_values("set_id")
     ids, size = sigs["set_id"].to_numpy(), sigs["n"].to_numpy()
-    bits = np.frombuffer(b"".join(sigs["sig"]), U).reshape(len(ids), SIG_WORDS)
+    bits = Signatures(sigs["sig"].tolist())
     a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
     keep = [np.empty(0, np.int64)]
-    for at in range(0, len(a), 1 << 16):
-        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
         total = size[x] + size[y]
-        most = (total - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)) // 2  # the overlap is at most this
+        most = (total - bits.differ(x, y)) // 2  # the overlap is at most this
         keep.append(at + np.flatnonzero(100 * most >= 80 * (total - most)))
     return pairs.iloc[np.concatenate(keep)]
 
@@ -408,14 +449,14 @@ def tiled(pairs: DataFrame, cls: DataFrame) -> DataFrame:
     shingles, are cut into blocks. A class thus goes to few tiles, however many pairs it has, and no tile outgrows a few blocks."""
     ends = pairs.select("a", "b").union(pairs.select("b", "a"))
     node = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    node = materialize(node.join(cls.select(F.col("set_id").alias("a"), "n"), "a"))
-    sized = materialize(node.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("w")))
+    node = materialize(node.join(cls.select(F.col("set_id").alias("a"), "n"), "a"), few=True)
+    sized = materialize(node.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("w")), few=True)
     cut = F.ceil(F.greatest(F.col("k") / TILE_SETS, F.col("w") / TILE_SHINGLES))
-    cell = materialize(hot_join(node, sized, "label", "k").select(F.col("a").alias("id"), F.xxhash64("label", F.pmod(F.xxhash64("a"), cut)).alias("cell"), "n"))
+    cell = materialize(hot_join(node, sized, "label", "k").select(F.col("a").alias("id"), F.xxhash64("label", F.pmod(F.xxhash64("a"), cut)).alias("cell"), "n"), few=True)
     held = cell.agg(F.count("*"), F.sum("n")).first()
     tiles = max(1, math.ceil(2 * held[0] / TILE_SETS), math.ceil(2 * (held[1] or 0) / TILE_SHINGLES))
     x, y = cell.select(F.col("id").alias("a"), F.col("cell").alias("x")), cell.select(F.col("id").alias("b"), F.col("cell").alias("y"))
-    out = materialize(pairs.join(x, "a").join(y, "b").select(F.pmod(F.xxhash64("x", "y"), F.lit(tiles)).alias("tile"), "a", "b"))
+    out = materialize(pairs.join(x, "a").join(y, "b").select(F.pmod(F.xxhash64("x", "y"), F.lit(tiles)).alias("tile"), "a", "b"), few=True)
     discard(node, sized, cell)
     return out
 
@@ -431,8 +472,8 @@ def link_pairs(docs: DataFrame, cls: DataFrame, pairs: DataFrame, bounded: bool
     placed = near = tiled(pairs, cls)
     if not bounded:
         at = cls.select("set_id", "n", "sig").join(needed(placed), "set_id").groupBy("tile")
-        near = materialize(at.cogroup(reread(placed).groupBy("tile")).applyInPandas(near_pairs, "tile long, a long, b long"))
-    where = materialize(needed(near).groupBy("set_id").agg(F.collect_list("tile").alias("tiles")).join(cls.select("set_id", "row"), "set_id"))
+        near = materialize(at.cogroup(reread(placed).groupBy("tile")).applyInPandas(near_pairs, "tile long, a long, b long"), few=True)
+    where = materialize(needed(near).groupBy("set_id").agg(F.collect_list("tile").alias("tiles")).join(cls.select("set_id", "row"), "set_id"), few=True)
     bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(where.select("row")), where.count()))
 
     def sets(batches):
@@ -448,7 +489,7 @@ def link_pairs(docs: DataFrame, cls: DataFrame, pairs: DataFrame, bounded: bool
                     yield pa.RecordBatch.from_pydict({"set_id": pa.array([set_id(s) for s in found], pa.int64()), "grams": pa.array([s.tobytes() for s in found], pa.binary())})
 
     grams = docs.mapInArrow(sets, "set_id long, grams binary").join(where.drop("row"), "set_id").select(F.explode("tiles").alias("tile"), "set_id", "grams")
-    links = materialize(grams.groupBy("tile").cogroup(reread(near).groupBy("tile")).applyInPandas(linked_pairs, "a long, b long"))
+    links = materialize(grams.groupBy("tile").cogroup(reread(near).groupBy("tile")).applyInPandas(linked_pairs, "a long, b long"), few=True)
     bits.unpersist()
     discard(placed, near, where)
     return links
@@ -464,17 +505,17 @@ def packed_ids(ids: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id connected with each id of links, by contraction with the smallest neighbour."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    edges = materialize(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), few=True)
     label = None
     while True:
-        up = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
+        up = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), few=True)
         if label is None:
             new = up.select(F.col("a").alias("id"), F.col("up").alias("comp"))
         else:
             new = label.join(up, label["comp"] == up["a"], "left").select("id", F.coalesce("up", "comp").alias("comp"))
-        new = materialize(new)
+        new = materialize(new, few=True)
         to = up.select(F.col("a").alias("b"), F.col("up").alias("ub"))
-        left = materialize(edges.join(up, "a").join(to, "b").filter("up <> ub").select(F.col("up").alias("a"), F.col("ub").alias("b")).distinct())
+        left = materialize(edges.join(up, "a").join(to, "b").filter("up <> ub").select(F.col("up").alias("a"), F.col("ub").alias("b")).distinct(), few=True)
         discard(edges, up, *([label] if label is not None else []))
         edges, label = left, new
         if edges.isEmpty():
@@ -485,10 +526,10 @@ def components(links: DataFrame) -> DataFrame:
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: only their edges between components are contracted."""
     alone = links.select("a").union(links.select("b")).distinct().join(comp, F.col("a") == F.col("id"), "left_anti").select(F.col("a").alias("id"), F.col("a").alias("comp"))
-    every = materialize(comp.union(alone))
+    every = materialize(comp.union(alone), few=True)
     x, y = reread(every).select(F.col("id").alias("a"), F.col("comp").alias("x")), reread(every).select(F.col("id").alias("b"), F.col("comp").alias("y"))
     up = components(links.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    out = materialize(every.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
+    out = materialize(every.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), few=True)
     discard(every, up, comp, links)
     return out
 
@@ -497,13 +538,13 @@ def still_open(long: DataFrame, comp: DataFrame) -> DataFrame:
     """Members (token, a, n) of long lists with their component, where their size band or a neighbouring one holds another
     component; with the list's length k in blocks and its largest component, `major`."""
     long = long.join(comp.select(F.col("id").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    long = materialize(long.withColumn("band", F.floor(F.log("n") / math.log(1.26))))  # sizes of linked sets are at most one band apart
+    long = materialize(long.withColumn("band", F.floor(F.log("n") / math.log(1.26))), few=True)  # sizes of linked sets are at most one band apart
     spans = long.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     spans = spans.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lo", "hi")
     mixed = spans.groupBy("token", "band").agg((F.min("lo") < F.max("hi")).alias("mixed")).filter("mixed").select("token", "band")
     held = long.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("major"), F.ceil(F.sum("count") / BLOCK).cast("int").alias("k"))
     mixed = mixed.join(held, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = materialize(long.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(mixed, ["token", "band", "salt"]).select("token", "a", "n", "comp", "major", "k"))
+    out = materialize(long.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(mixed, ["token", "band", "salt"]).select("token", "a", "n", "comp", "major", "k"), few=True)
     discard(long)
     return out
 
@@ -516,7 +557,7 @@ def proposals(members: DataFrame, cls: DataFrame, tiles: int, turn: int, every:
         at_home = at_home.unionByName(visit)
     rows = at_home.drop("k", "major").join(cls.select(F.col("set_id").alias("a"), "sig"), "a")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("token", "block"), F.lit(4 * tiles)))
-    return materialize(rows.groupBy("tile").applyInPandas(open_pairs(every), "a long, b long").distinct())
+    return materialize(rows.groupBy("tile").applyInPandas(open_pairs(every), "a long, b long").distinct(), few=True)
 
 
 def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -532,7 +573,7 @@ def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("row"))).alias("least")
     cls = materialize(first.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"), least).select("set_id", "n", "sig", "copies", "least", "least.row"))
 
-    hot = materialize(first.filter("tile IS NOT NULL").select("tile", "keys", "counts").repartition(parts, "tile").groupBy("tile").applyInPandas(hot_shingles, "level int, n long, keys binary"))
+    hot = materialize(first.filter("tile IS NOT NULL").select("tile", "keys", "counts").repartition(parts, "tile").groupBy("tile").applyInPandas(hot_shingles, "level int, n long, keys binary"), few=True)
     level = int(math.log2(hot_df))
     held = {r["level"]: r["n"] for r in hot.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # at most 40 rows
     while sum(n for k, n in held.items() if k >= level) > HOT_MOST:
@@ -540,7 +581,7 @@ def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]
     filter_ = spark.sparkContext.broadcast(bloom_filter(hot.filter(F.col("level") >= level).select("keys")))
     posted = texts.mapInArrow(postings(tiles, filter_), "tile int, keys binary, c0 binary, c1 binary, c2 binary").withColumn("spare", F.col("tile") >= tiles)
     found = materialize(posted.repartition(parts, "tile").groupBy("tile").applyInPandas(candidate_rows, "a long, b long, token long, n int"))
-    pairs = materialize(found.filter("token IS NULL").select("a", "b").distinct())
+    pairs = materialize(found.filter("token IS NULL").select("a", "b").distinct(), few=True)
     comp = components(link_pairs(texts, cls, pairs))
     discard(hot, pairs)
 
@@ -563,9 +604,9 @@ def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]
         discard(members, open_)
     discard(found)
 
-    label = materialize(cls.drop("sig").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")))
-    own = materialize(label.groupBy("comp").agg(F.count("*").alias("k"), F.min("least").alias("best")))
-    classes = materialize(hot_join(label, own, "comp", "k").select("set_id", "copies", F.col("best.doc_id").alias("component"), F.col("best.row").alias("component_row")))
+    label = materialize(cls.drop("sig").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), few=True)
+    own = materialize(label.groupBy("comp").agg(F.count("*").alias("k"), F.min("least").alias("best")), few=True)
+    classes = materialize(hot_join(label, own, "comp", "k").select("set_id", "copies", F.col("best.doc_id").alias("component"), F.col("best.row").alias("component_row")), few=True)
     discard(comp, label, own, cls)
     return member, classes
 
@@ -600,9 +641,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     marked = docs.withColumn(key, F.xxhash64(*flat))
     member, classes = row_classes(marked.select(F.col(key).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id")))
-    found = materialize(hot_join(member.filter("n > 0"), classes, "set_id", "copies").select("row", (F.col("row") == F.col("component_row")).alias("stays")))
-    drop = materialize(found.filter(~F.col("stays")).select(F.col("row").alias(key)).distinct())
-    again = materialize(found.filter("stays").groupBy("row").count().filter("count > 1").select(F.col("row").alias(key)))
+    found = materialize(hot_join(member.filter("n > 0"), classes, "set_id", "copies").select("row", (F.col("row") == F.col("component_row")).alias("stays")), few=True)
+    drop = materialize(found.filter(~F.col("stays")).select(F.col("row").alias(key)).distinct(), few=True)
+    again = materialize(found.filter("stays").groupBy("row").count().filter("count > 1").select(F.col("row").alias(key)), few=True)
     discard(member, classes, found)
     clear, maybe = parted(marked, drop.union(again), key)
     maybe = maybe.join(drop, key, "left_anti")

@@ -82,10 +82,16 @@ def test_signatures_bound_the_overlap_from_above():
         for shared in (0.0, 0.5, 0.9, 1.0):
             k = int(len(pool) * shared)
             one, two = pool[: max(1, k + (len(pool) - k) // 2)], np.concatenate((pool[:k], pool[k + (len(pool) - k) // 2 :]))
-            bits = ngram_join.signatures([one, two])
-            differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
-            assert differ <= len(np.setxor1d(one, two))
-    assert ngram_join.signatures([]).shape == (0, ngram_join.SIG_WORDS)
+            bits = ngram_join.Signatures(ngram_join.signatures([one, two, one[: len(one) // 3 + 1]]))
+            for x, y in ((0, 1), (0, 2), (2, 1), (1, 1)):
+                sets = (one, two, one[: len(one) // 3 + 1])
+                differ = int(bits.differ(np.array([x]), np.array([y]))[0])
+                assert differ <= len(np.setxor1d(sets[x], sets[y]))
+            if shared == 0 and size > 1000:  # sets that share nothing are ruled out, however large
+                total = len(one) + len(two)
+                most = (total - int(bits.differ(np.array([0]), np.array([1]))[0])) // 2
+                assert 100 * most < 80 * (total - most)
+    assert ngram_join.signatures([]) == []
 
 
 def test_representatives_where_nothing_is_broadcast(spark):
@@ -102,7 +108,7 @@ def test_representatives_where_nothing_is_broadcast(spark):
 
 
 def as_list(sizes_blocks, sets, token=5):
-    sigs = [s.tobytes() for s in ngram_join.signatures(sets)]
+    sigs = ngram_join.signatures(sets)
     rows = [(0, token, k, len(sets[k]), k, block, home, sigs[k]) for k, block, home in sizes_blocks]
     return pd.DataFrame(rows, columns=["tile", "token", "a", "n", "comp", "block", "home", "sig"])
 
