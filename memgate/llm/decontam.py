@@ -9,30 +9,36 @@ Capitalised words at the start of a sentence may be names or not: a third, wide
 such a word is the same on both sides it counts as literal. Windows in which one side has such a word lower-case, while
 another sentence-initial word differs, match in no stream.
 
-A document holds an item when consistent windows cover half of the item's, or a run of 20 words. The benchmark goes to
-the executors in blocks of at most `block_items` items and BLOCK_BYTES of text, one pass over the documents for each, so any benchmark size works.
+A document holds an item when consistent windows cover half of the item's, or a run of 20 words. A benchmark of up to
+BROADCAST_ITEMS items and BROADCAST_BYTES of text is checked in one pass over the documents, by a table that is
+broadcast. A larger one is hash-joined: windows of documents that a Bloom filter lets through meet the windows of the
+items, and only the (document, item) pairs that share one are checked, by the same rule.
 
 Defined cases: null and empty texts hold nothing; items below 4 words are ignored, items of 4 to 7 words must occur
-whole, literally or with other slot values if over half of the words are the same; repeated items are each reported; a null item text is ignored.
+whole, literally or with other slot values if over half of the words are the same; repeated items are each reported; a
+null item text is ignored; repeated documents are each judged; an empty benchmark or table gives an empty result; texts
+of any length are read whole. Of slot values that are equally frequent the larger hash is taken. Columns with clashing
+names pass through clean() as they are.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgate.llm._shared import LOWER, U, WordHasher, groups, small_batches, text_slices, window_hashes
+from memgate.llm._shared import LOWER, U, WordHasher, free_name, groups, materialize, reread, small_batches, text_slices, window_hashes
+from memgate.llm.ngram_join import bloom_filter, bloom_has, packed_ids, parted
 
 SIZE = 8
 LEAST_WORDS = 4
 LEAST_LITERAL = 5
 SHARE, RUN = 0.5, 20
-BLOCK_BYTES = 16 << 20
+BROADCAST_ITEMS, BROADCAST_BYTES = 20_000, 1 << 20
+SALTS = 16
 ALNUM = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
 DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 UPPER = np.array([chr(c).isupper() for c in range(1 << 16)])
@@ -215,54 +221,111 @@ def held_items(texts: list[bytes], table: dict):
                 yield a + d, k, 1, 1
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int):
-    """Broadcast tables of at most block_items items and BLOCK_BYTES each."""
-    sc = benchmark.sparkSession.sparkContext
-    items, size = [], 0
-    for r in benchmark.filter(F.col(text_col).isNotNull()).select(F.col(item_col), F.col(text_col)).toLocalIterator():
-        text = r[1].encode()
-        if items and (len(items) >= block_items or size + len(text) > BLOCK_BYTES):
-            yield sc.broadcast(table_of(items))
-            items, size = [], 0
-        items.append((r[0], text))
-        size += len(text)
-    if items:
-        yield sc.broadcast(table_of(items))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
+def small_table(benchmark: DataFrame, item_col: str, text_col: str, most_items: int, most_bytes: int):
+    """The broadcast table of a benchmark within the bounds, else None."""
+    items = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(item_col), F.col(text_col))
+    held = items.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    if held[0] > most_items or (held[1] or 0) > most_bytes:
+        return None
+    return benchmark.sparkSession.sparkContext.broadcast(table_of([(r[0], r[1].encode()) for r in items.collect()]))
+
+
+def item_windows(batches):
+    """(h, item) of every window by which an item can be found."""
+    for keys, texts in text_slices(batches):
+        for k, text in zip(keys, texts):
+            table = table_of([(k, text)])
+            h = np.unique(np.concatenate([table["keys"], *(own for own, _ in table["short"].values())]).astype(U))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k, np.int64))], ["h", "item"])
+
+
+def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, item_id, n_found, n_windows) for docs (row, text, doc_id) and items (item, text, item_id), by a hash join of windows."""
+    own = materialize(items.select("item", "text").distinct().mapInArrow(item_windows, "h long, item long"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(packed_ids(own.select("h")), own.count()))
+
+    def windows(batches):
+        for rows, texts in text_slices(batches):
+            at, got = [np.empty(0, np.int64)], [np.empty(0, U)]
+            for a, b in groups(texts):
+                *kinds, first = streams(texts[a:b])
+                for stream in kinds:
+                    for size in range(LEAST_WORDS, SIZE + 1):
+                        h = window_hashes(stream, size)
+                        k = np.flatnonzero(bloom_has(bits.value, h)) if len(h) else np.empty(0, int)
+                        doc = np.searchsorted(first, k, side="right") - 1
+                        inside = k + size <= first[doc + 1] if len(k) else k.astype(bool)
+                        at.append(np.array(rows, np.int64)[a + doc[inside]])
+                        got.append(h[k[inside]])
+            pairs = np.unique(np.stack((np.concatenate(at), np.concatenate(got).view(np.int64)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["row", "h"])
+
+    # a window that many documents hold is dealt to SALTS tasks
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = docs.select("row", "text").mapInArrow(windows, "row long, h long").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    pairs = materialize(found.join(own.withColumn("salt", salt), ["h", "salt"]).select("row", "item").distinct(), few=True)
+    wide = docs.join(pairs, "row").join(items.select("item", F.col("text").alias("item_text"), "item_id"), "item")
+    wide = wide.select("item", "row", "doc_id", "item_id", "text", "item_text").sortWithinPartitions("item")
+
+    def check(batches):
+        key, table = None, None
+        for b in batches:
+            out = []
+            texts, item_texts = (b.column(c).cast(pa.binary()).to_pylist() for c in (4, 5))
+            for k, row, doc, item, text, item_text in zip(*(b.column(c).to_pylist() for c in range(4)), texts, item_texts):
+                if key != k:
+                    key, table = k, table_of([(k, item_text)])
+                out += [(row, doc, item, n, m) for _, _, n, m in held_items([text], table)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["row", "doc_id", "item_id", "n_found", "n_windows"])
+
+    return wide.mapInArrow(check, "row long, doc_id long, item_id long, n_found long, n_windows long")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.xxhash64(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+
+
+def items_of(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    own = benchmark.filter(F.col(item_text).isNotNull())
+    return own.select(F.xxhash64(item_text).alias("item"), F.col(item_text).alias("text"), F.col(item_col).cast("long").alias("item_id"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_items: int = BROADCAST_ITEMS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row (doc_id, item_id, n_found, n_windows) for each item that a document holds."""
-    spark = small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    schema = "doc_id long, item_id long, n_found long, n_windows long"
-
-    def pass_over(shared):
-        def run(batches):
-            table = shared.value
-            for ids, texts in text_slices(batches):
-                found = [(ids[d], table["ids"][k], n, m) for d, k, n, m in held_items(texts, table)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["doc_id", "item_id", "n_found", "n_windows"])
+    small_batches(docs.sparkSession)
+    shared = small_table(benchmark, item_col, item_text, most_items, most_bytes)
+    if shared is None:
+        return joined(keyed(docs, id_col, text_col), items_of(benchmark, item_col, item_text)).drop("row")
 
-        return rows.mapInArrow(run, schema)
+    def run(batches):
+        table = shared.value
+        for ids, texts in text_slices(batches):
+            found = [(ids[d], table["ids"][k], n, m) for d, k, n, m in held_items(texts, table)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["doc_id", "item_id", "n_found", "n_windows"])
 
-    found = [pass_over(t) for t in blocks(benchmark, item_col, item_text, block_items)]
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, item_id long, n_found long, n_windows long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
-    """docs without those that hold an item, all columns as they were; no join."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_items: int = BROADCAST_ITEMS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without those that hold an item, all columns as they were. Texts move only where a benchmark beyond the bounds has
+    a candidate for them."""
     small_batches(docs.sparkSession)
+    shared = small_table(benchmark, item_col, item_text, most_items, most_bytes)
+    if shared is None:
+        key = free_name(docs, "row")
+        marked = docs.withColumn(key, F.xxhash64(text_col))
+        rows = marked.select(F.col(key).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"), F.lit(0).cast("long").alias("doc_id"))
+        drop = materialize(joined(rows, items_of(benchmark, item_col, item_text)).select(F.col("row").alias(key)).distinct(), few=True)
+        clear, maybe = parted(marked, drop, key)
+        return clear.unionByName(maybe.join(reread(drop), key, "left_anti")).drop(key)
     at = docs.columns.index(text_col)
 
-    def without(frame, shared):
-        def run(batches):
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
-                keep = np.ones(len(texts), bool)
-                for d, *_ in held_items(texts, shared.value):
-                    keep[d] = False
-                yield batch.filter(pa.array(keep))
-
-        return frame.mapInArrow(run, frame.schema)
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
+            keep = np.ones(len(texts), bool)
+            for d, *_ in held_items(texts, shared.value):
+                keep[d] = False
+            yield batch.filter(pa.array(keep))
 
-    return reduce(without, blocks(benchmark, item_col, item_text, block_items), docs)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -59,6 +62,29 @@ def test_viterbi_against_brute_force():
             assert sum(score[i] for i in ids) == best[n]
 
 
+def test_viterbi_of_random_models_against_brute_force():
+    """Any path's sum of scores, byte pieces among them, is at most that of the ids found; and the ids spell the text."""
+    rng = random.Random(9)
+    for _ in range(60):
+        words = {"▁": (256, rng.uniform(-9, 0))}
+        for _ in range(rng.randint(1, 14)):
+            piece = "▁" * rng.randint(0, 1) + "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
+            words.setdefault(piece, (256 + len(words), rng.uniform(-9, 0)))
+        vocab = {"words": words, "byte": list(range(256)), "plain": [bytes([b]) for b in range(256)] + [p.replace("▁", " ").encode() for p in words]}
+        segments = pieces.Segments(vocab)
+        score = {i: s for i, s in words.values()}
+        for _ in range(8):
+            text = "▁" + "".join(rng.choice("abéc") for _ in range(rng.randint(0, 9)))
+            best = [0.0]
+            for e in range(1, len(text) + 1):
+                own = [best[s] + words[text[s:e]][1] for s in range(e) if text[s:e] in words]
+                best.append(max([best[e - 1] + pieces.BYTE_SCORE, *own]))
+            ids = segments.solve(text)
+            spent = sum(score[i] for i in ids if i in score) + pieces.BYTE_SCORE * len(b"".join(vocab["plain"][i] for i in ids if i < 256).decode())
+            assert abs(spent - best[-1]) <= 1e-9 * max(1.0, abs(best[-1]))
+            assert pieces.decoded(ids, vocab["plain"]) == text.replace("▁", " ").encode()[1:]
+
+
 def test_secrets_against_plain_scan(spark):
     body = "0123456789abcdefghijABCDEFGHIJ"
     good = "ghp_" + body + secret_scan.crc62(body)
@@ -79,7 +105,8 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench).collect()}
     assert got == {(0, 1), (2, 3)}
     assert [r.doc_id for r in decontam.clean(docs(spark, texts), bench, text_col="text").orderBy("doc_id").collect()] == [1, 3, 4, 5]
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench, block_items=1).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench, most_items=1).collect()} == got
+    assert [r.doc_id for r in decontam.clean(docs(spark, texts), bench, most_items=1).orderBy("doc_id").collect()] == [1, 3, 4, 5]
 
 
 def test_decontamination_of_renamed_items(spark):
@@ -95,6 +122,84 @@ def test_decontamination_of_renamed_items(spark):
     assert got == {(0, 0), (1, 0), (3, 1), (5, 2), (6, 3)}
 
 
+def plain_streams(text):
+    """Literal, template and wide words of a text of ASCII words, by a loop over its words."""
+    kinds, after, before = [], True, None
+    for m in re.finditer(r"[0-9](?:[0-9]|[.,](?=[0-9]))*|[A-Za-z]+|[.!?:\n]", text):
+        w = m[0]
+        if w in ".!?:\n":
+            after = True
+            continue
+        number, capital = w[0].isdigit(), len(w) > 1 and w[0].isupper() and not w[1].isupper()
+        unit = before is not None and before[0].isdigit() and w.lower() in decontam.UNITS and not number
+        shape = "<unit>" if unit else "<num>" if number else "<name>" if capital and not after else w.lower()
+        kinds.append((w.lower(), shape, "<name>" if capital and after and shape == w.lower() else shape))
+        before, after = w, False
+    return tuple(map(list, zip(*kinds))) if kinds else ([], [], [])
+
+
+def plain_holds(text, item):
+    """Every window of the text against every window of the item."""
+    import numpy as np
+
+    code: dict = {}
+    number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])
+    w, v, x = map(number, plain_streams(text))
+    iw, iv, ix = map(number, plain_streams(item))
+    n = len(iw)
+    if n < 4:
+        return False
+    size = min(n, 8)
+    hits = {True: set(), False: set()}
+    for p in range(n - size + 1):
+        sl = slice(p, p + size)
+        slots = np.count_nonzero(iv[sl] != iw[sl])
+        for d in range(len(w) - size + 1):
+            sd = slice(d, d + size)
+            same = lambda a, b: np.array_equal(a[sd], b[sl])
+            if n < 8:
+                if same(w, iw):
+                    return True
+                few = 2 * slots < n
+                if few and any(same(a, b) for a in (w, v, x) for b in (iv, ix)) and decontam.mostly_literal(d, 0, w, iw, iv, size, (size - 1) // 2) and decontam.consistent([(d, 0)], w, x, iw, ix, size):
+                    return True
+                continue
+            shaped = 0 < slots <= 3
+            wide = slots <= 3 and not np.array_equal(ix[sl], iv[sl])
+            if same(w, iw) or same(v, iw) or shaped and (same(w, iv) or same(v, iv)):
+                hits[False].add((d, p))
+            if same(x, iw) or shaped and same(x, iv) or wide and any(same(a, ix) for a in (w, v, x)):
+                hits[True].add((d, p))
+    tries = [decontam.consistent(sorted(hits[False]), w, v, iw, iv)] if n >= 8 else []
+    more = {(d, p) for d, p in hits[True] - hits[False] if decontam.mostly_literal(d, p, w, iw, iv, 8, 3)}
+    if more:
+        tries.append(decontam.consistent(sorted(hits[False] | more), w, x, iw, ix))
+    return any(kept and (len(kept) >= 0.5 * (n - 7) or decontam.longest_run(kept) + 7 >= 20) for kept in tries)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(4)
+    lower = "the a of cat dog sells buys walks home and then red blue how many left train leaves".split()
+    def sentence(n):
+        ws = []
+        for _ in range(n):
+            r = rng.random()
+            ws += [str(rng.randint(2, 60))] + ([rng.choice(["km", "kg", "hours"])] if rng.random() < 0.4 else []) if r < 0.15 else [rng.choice(["Tom", "Anna", "Ben", "Zoe"])] if r < 0.27 else [rng.choice(lower)]
+        return " ".join(ws).capitalize() if rng.random() < 0.3 else " ".join(ws)
+    items = [". ".join(sentence(rng.randint(3, 9)) for _ in range(rng.randint(1, 3))) for _ in range(25)] + [None, "", "a b c", sentence(5)]
+    swap = lambda t: re.sub(r"\b(Tom|Anna)\b", lambda m: {"Tom": "Sue", "Anna": "Max"}[m[0]], re.sub(r"[0-9]+", lambda m: str(int(m[0]) + 7), t))
+    texts = []
+    for k, t in enumerate(items):
+        words = (t or "x").split()
+        texts += [sentence(6) + ". " + (t or ""), swap(t or "") + " " + sentence(5), " ".join(words[: len(words) * 2 // 3]), sentence(30), re.sub("Tom", "Tim", t or "", count=1)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if item and plain_holds(t, item)}
+    assert len(want) > 60
+    for most in (decontam.BROADCAST_ITEMS, 1):
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench, most_items=most).collect()}
+        assert got == want
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.predict(d, language_id.learn(d)).withColumn("held_out", language_id.held_out("doc_id")).join(d.select("doc_id", "lang"), "doc_id")
@@ -102,6 +207,48 @@ def test_language_accuracy(spark):
     assert [r.lang_pred for r in language_id.predict(docs(spark, [None, "", "123 !?"]), language_id.learn(d)).collect()] == ["und"] * 3
 
 
+def test_language_against_brute_force(spark):
+    """Profiles, distances and scores by plain dictionaries."""
+    def ranks(text):
+        runs = re.findall(r"[^\W\d_]+", text.lower())
+        grams = Counter()
+        for r in runs:
+            p = f" {r} "
+            for k in range(len(r)):
+                grams["3" + p[k : k + 3]] += 1
+                grams["2" + p[k : k + 2]] += 1
+                grams["1" + p[k]] += 1
+        return grams
+
+    rng = random.Random(2)
+    letters = {"en": "etaoin shrdlu", "el": "αβγδε ζηθικ", "ja": "日本語文 字列漢"}
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(rng.randint(5, 200))), lang) for k, lang in enumerate(rng.choices(list(letters), k=90))]
+    rows += [(90, "αβγ 日本 eta", None), (91, "123", "en"), (92, None, "en"), (None, "eta eta", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn(d, per_lang=1000)
+    assert sorted(profiles) == ["el", "en", "ja"]
+    train = defaultdict(Counter)
+    for i, t, lang in rows:
+        if i is not None and lang and t and zlib.crc32(str(i).encode()) % 4 != 2:
+            train[lang] += ranks(t)
+    for r in language_id.predict(d, profiles).collect():
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        own = ranks(text or "")
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        # equal counts rank by code, so the distance can differ by ties only: the winner here is always clear
+        near = {}
+        for lang, counts in train.items():
+            place = {g: k for k, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language_id.TOP])}
+            mine = [g for g, _ in sorted(own.items(), key=lambda x: (-x[1], x[0]))[: language_id.TOP]]
+            near[lang] = 1 - sum(abs(place[g] - k) if g in place else language_id.TOP for k, g in enumerate(mine)) / (language_id.TOP * len(mine))
+        best = max(near, key=near.get)
+        if len(set(text) & set("αβγδεζηθικ日本語文字列漢")) == 0 or r.doc_id < 90:
+            assert r.lang_pred == best
+            assert abs(r.score - near[best]) < 0.12
+
+
 def test_shards_against_brute_force(spark):
     texts = [None if i % 50 == 0 else "x" * (i * 37 % 400) for i in range(300)] + ["y" * 5000]
     limit = 2000
