@@ -48,8 +48,8 @@ TILE_POSTINGS, MOST_PARTITIONS = 1 << 18, 20_000
 #: A tile of documents holds about so many sets, and shingles.
 TILE_SETS, TILE_SHINGLES = 1500, 1 << 20
 SHORT_LIST = 12
-#: More postings of one shingle in a flush of some million go to a spare tile.
-HEAVY = 64
+#: A task packs so many shingles at a time; more than HEAVY postings of one of them go to a spare tile.
+FLUSH, HEAVY = 1 << 19, 32
 BLOCK = 2048
 ROUNDS = 4
 SALTS = 16
@@ -149,7 +149,7 @@ def unpack(pdf: pd.DataFrame, *types) -> list[np.ndarray]:
 
 
 def flush_at(sets: list) -> bool:
-    return sum(map(len, sets)) >= 1 << 21
+    return sum(map(len, sets)) >= FLUSH
 
 
 FIRST = "row long, doc_id long, n long, set_id long, sig binary, tile int, keys binary, counts binary"
@@ -237,7 +237,7 @@ def postings(tiles: int, hot):
                 keys = cold if len(cold) == p else np.concatenate((cold, s[is_hot][: p - len(cold)]))
                 pend.append((keys, np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.full(p, is_hot.mean() * 255, np.uint8)))
                 total += p
-            if total >= 1 << 20:
+            if total >= FLUSH:
                 yield block()
                 pend, total = [], 0
         if pend:
@@ -580,7 +580,7 @@ def row_classes(docs: DataFrame, hot_df: int = 8) -> tuple[DataFrame, DataFrame]
         level += 1
     filter_ = spark.sparkContext.broadcast(bloom_filter(hot.filter(F.col("level") >= level).select("keys")))
     posted = texts.mapInArrow(postings(tiles, filter_), "tile int, keys binary, c0 binary, c1 binary, c2 binary").withColumn("spare", F.col("tile") >= tiles)
-    found = materialize(posted.repartition(parts, "tile").groupBy("tile").applyInPandas(candidate_rows, "a long, b long, token long, n int"))
+    found = materialize(posted.repartition(parts, "tile").groupBy("tile").applyInPandas(candidate_rows, "a long, b long, token long, n int"), few=True)
     pairs = materialize(found.filter("token IS NULL").select("a", "b").distinct(), few=True)
     comp = components(link_pairs(texts, cls, pairs))
     discard(hot, pairs)
