@@ -1,17 +1,21 @@
 """Conversation views and rule-based extraction of memories."""
 
-from pyspark.sql import DataFrame, Window
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memgate.functions import text
 
-#: Extraction rules in order of priority, (kind, pattern whose first group is the claim).
+#: Extraction rules in order of priority, (kind, trust, pattern whose first group is the claim).
 RULES = (
-    ("decision", r"(?i)\b(?:we decided|we agreed|decision:)\s+(?:to\s+|that\s+)?(.+)"),
-    ("preference", r"(?i)\b((?:I|we) (?:prefer|like|want)\b.+)"),
-    ("fact", r"(?i)\b((?:my|our)\s+\w+\s+(?:is|are)\b.+)"),
-    ("commitment", r"(?i)\b((?:I|we)(?:'ll| will)\b.+)"),
-    ("reminder", r"(?i)\bremember (?:that|to)\s+(.+)"),
+    ("explicit", 8, r"\b(?:please )?remember (?:that )?(.{8,200})"),
+    ("decision", 7, r"\bwe (?:decided|agreed) (?:that |to )?(.{8,200})"),
+    ("attribute", 7, r"\b((?:my|our) (?:\w+ ){0,2}(?:name|email|phone|address|birthday|anniversary|manager|team|company|timezone|budget|goal|policy) (?:is|are) .{2,120})"),
+    ("preference", 6, r"\b(i (?:prefer|always|never|usually|like to|hate|love) .{4,150})"),
+    ("dated", 6, r"\b(the (?:deadline|launch|meeting|renewal|review|migration|audit) (?:is|was|will be) .{2,120})"),
 )
 
 
@@ -30,16 +34,76 @@ def five_views(conversations: DataFrame) -> DataFrame:
     return both.withColumn("capsule_id", F.substring(F.sha2(name, 256), 1, 32))
 
 
+def view_records(views_: DataFrame, tenant: Column, at: Column) -> DataFrame:
+    """Records of views: the claim is the first non-blank line, the evidence the view's address, the source its conversation."""
+    uri = F.concat_ws("/", F.lit("memory:/"), F.col("conv_id").cast("string"), F.coalesce(F.col("turn").cast("string"), F.lit("-")), "view")
+    claim = F.coalesce(text.first_line(F.col("text")), F.lit(""))
+    return views_.select("capsule_id", tenant.alias("tenant_id"), claim.alias("claim"), uri.alias("evidence"), uri.alias("source_uri"), F.xxhash64("conv_id").alias("source_id"), at.alias("valid_from"), at.alias("observed_at"), at.alias("last_verified_at"))
+
+
 def parse_transcript(lines: DataFrame) -> DataFrame:
     """(line, value) rows of 'Speaker: text' to speaker and utterance."""
     return lines.select("line", F.trim(F.regexp_extract("value", r"^\s*([^:]{1,40}):\s*(.+)$", 1)).alias("speaker"), F.trim(F.regexp_extract("value", r"^\s*([^:]{1,40}):\s*(.+)$", 2)).alias("utterance")).filter("utterance <> ''")
 
 
-def extract(utterances: DataFrame) -> DataFrame:
-    """(line, speaker, utterance) to memories: the first rule that fits, normalised, one row for each distinct claim."""
-    got = [F.regexp_extract("utterance", p, 1) for _, p in RULES]
-    kind = F.coalesce(*(F.when(g != "", F.lit(k)) for (k, _), g in zip(RULES, got)))
-    raw = F.coalesce(*(F.when(g != "", g) for g in got))
-    rows = utterances.withColumns({"kind": kind, "claim": text.normalize_claim(raw, F.col("speaker"))}).filter("kind IS NOT NULL")
-    first = Window.partitionBy(F.lower("claim")).orderBy("line")
-    return rows.withColumn("r", F.row_number().over(first)).filter("r = 1").select("line", "speaker", "kind", "claim")
+def standalone(fragment: str, speaker: str) -> str:
+    """A claim that stands alone: trimmed, blanks squeezed, and a first person at its start replaced by the speaker."""
+    claim = " ".join(fragment.strip().rstrip(".!,;").split())
+    first = re.match(r"(i|my|our|we)\b", claim, re.I)
+    return f"{speaker} ({first[1].lower()}){claim[first.end():]}" if first else claim
+
+
+def extract(utterances: DataFrame, by: str | None = None) -> DataFrame:
+    """(line, speaker, utterance) to memories. The first rule of an utterance that gives a claim not seen before wins, so lines
+    are read in order: within each transcript, which `by` names; without it all lines are one transcript."""
+    patterns = [(k, t, re.compile(p, re.I)) for k, t, p in RULES]
+    key = by or "transcript"
+
+    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, out = set(), []
+        for r in pdf.sort_values("line").itertuples(index=False):
+            for kind, trust, pattern in patterns:
+                if (m := pattern.search(r.utterance)) is None:
+                    continue
+                claim = standalone(m[1], r.speaker)
+                if claim.lower() not in seen:
+                    seen.add(claim.lower())
+                    out.append((getattr(r, key), r.line, r.speaker, kind, trust, claim, r.utterance))
+                    break
+        return pd.DataFrame(out, columns=[key, "line", "speaker", "kind", "trust", "claim", "evidence"])
+
+    rows = (utterances if by else utterances.withColumn(key, F.lit(0).cast("long"))).select(F.col(key).cast("long").alias(key), F.col("line").cast("long").alias("line"), "speaker", "utterance")
+    # only lines that some rule fits reach Python
+    some = rows.filter(F.col("utterance").rlike("(?i)" + "|".join(f"(?:{p})" for _, _, p in RULES)))
+    out = some.groupBy(key).applyInPandas(read, f"{key} long, line long, speaker string, kind string, trust int, claim string, evidence string")
+    return out if by else out.drop(key)
+
+
+def extracted_records(memories: DataFrame, tenant: int, source: str, now: int, hint: str | None = None) -> DataFrame:
+    """Records of extracted memories; the id is a hash of tenant, claim and source, so extracting again replaces them. hint: a column with a date."""
+    uri = F.when(F.col("line") > 0, F.concat(F.lit(f"{source}#L"), F.col("line").cast("string"))).otherwise(F.lit(source))
+    from_ = F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.col(hint), F.lit("yyyy-MM-dd"))), F.lit(now)) if hint else F.lit(now)
+    name = F.concat(F.lit(str(tenant)), F.lit("\0"), "claim", F.lit("\0"), F.lit(source))
+    mask = F.lit(0xFFFF).cast("long")
+    return memories.select(
+        F.substring(F.sha2(name, 256), 1, 32).alias("capsule_id"), F.lit(tenant).cast("long").alias("tenant_id"), "claim", "evidence", F.lit(source).alias("source_id"), uri.alias("source_uri"), from_.cast("long").alias("valid_from"), F.lit(now).cast("long").alias("observed_at"),
+        F.lit(now).cast("long").alias("last_verified_at"), mask.alias("context_mask"), mask.alias("policy_mask"), F.greatest(F.lit(0), F.least(F.lit(10), F.col("trust"))).cast("int").alias("trust_level"), F.lit(1).alias("classification"), F.lit(0).alias("poison_risk"),
+    )
+
+
+def extract_with(utterances: DataFrame, ask) -> DataFrame:
+    """Extraction by a model: ask(text) returns JSON {"memories": [{"claim", "evidence", "line", "trust"}]}. Answers that are no
+    such JSON give nothing; trust is kept within 0 to 10."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for line, speaker, said in zip(pdf["line"], pdf["speaker"], pdf["utterance"]):
+                try:
+                    got = json.loads(ask(f"{speaker}: {said}"))["memories"]
+                    out += [(int(m.get("line") or line), speaker, "model", max(0, min(10, int(m["trust"]))), str(m["claim"]), str(m.get("evidence") or said)) for m in got]
+                except (ValueError, KeyError, TypeError, AttributeError):
+                    continue
+            yield pd.DataFrame(out, columns=["line", "speaker", "kind", "trust", "claim", "evidence"])
+
+    return utterances.select(F.col("line").cast("long").alias("line"), "speaker", "utterance").mapInPandas(run, "line long, speaker string, kind string, trust int, claim string, evidence string")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memgate.functions import fingerprint, text
-from memgate.operators import evaluation, gates, retrieve, store, usage, views
+from memgate.operators import dense, evaluation, gates, harness, retrieve, store, usage, views
 from memgate.plans import corpus
 from memgate.plans.corpus import table
+from memgate.sources import records
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,36 +52,44 @@ def _residual(f: str) -> str:
     return f"list_transform(range(0, 64), lambda k: greatest(-128, least(127, coalesce(list_sum(list_transform(list_filter({f}, lambda f: {_byte('f', 0)} % 64 = k), lambda f: CASE WHEN {_byte('f', 1)} % 2 = 0 THEN 1 ELSE -1 END * (1 + {_byte('f', 2)} % 3))), 0)))::INT)"
 
 
-_CAPS = f"""caps0 AS (SELECT doc_id AS i, doc_id + 1 AS capsule_id, doc_id % 5 + 1 AS tenant_id,
-    coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], 1, 120), '') AS claim, substr(text, 1, 120) AS evidence, source AS source_id,
+_CAPS = f"""caps0 AS (SELECT doc_id AS i, doc_id + 1 AS capsule_id, doc_id % 5 + 1 AS tenant_id, text,
+    coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], '') AS claim, text AS evidence, source AS source_id,
     [1, 2, 4, 65535][doc_id % 4 + 1] AS context_mask, CASE WHEN doc_id % 17 = 0 THEN 8 ELSE 65535 END AS policy_mask,
-    (CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 5 + doc_id % 5 END)::INT AS trust_level, CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 0 END AS poison_risk,
+    (CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 5 + doc_id % 5 END)::INT AS trust_level, CASE WHEN doc_id % 19 = 0 THEN 2 WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END AS poison_risk,
     (CASE WHEN doc_id % 23 = 0 THEN 1780000000 ELSE 1760000000 - doc_id END)::BIGINT AS valid_from, (CASE WHEN doc_id % 31 = 0 THEN 1761000000 END)::BIGINT AS valid_until,
     1768000000 + doc_id % 5000 AS last_verified_at, 1760000000 + doc_id AS observed_at FROM documents),
-caps AS (SELECT *, {_terms("claim || ' ' || evidence")} AS anchors FROM caps0),
-edges AS (SELECT i + 1 AS "from", tenant_id, "to", kind FROM (
+caps AS MATERIALIZED (SELECT *, {_terms("concat_ws(' ', claim, text)")} AS anchors, {_terms("claim")} AS entities FROM caps0),
+edges AS (SELECT i + 1 AS "from", tenant_id, "to", kind, (i % 3 + 1)::INT AS weight FROM (
     SELECT i, tenant_id, i - 4 AS "to", 'Supports' AS kind FROM caps WHERE i >= 5 AND i % 9 = 0 UNION ALL
+    SELECT i, tenant_id, i - 9, 'Supports' FROM caps WHERE i >= 10 AND i % 18 = 0 UNION ALL
     SELECT i, tenant_id, i - 4, 'Contradicts' FROM caps WHERE i >= 5 AND i % 37 = 0 UNION ALL
     SELECT i, tenant_id, i - 4, 'Supersedes' FROM caps WHERE i >= 5 AND i % 41 = 0 UNION ALL
     SELECT i, tenant_id, i, 'Contradicts' FROM caps WHERE i >= 2 AND i % 37 = 1)),
-probes AS (SELECT item_id AS probe_id, item_id % 5 + 1 AS tenant_id, substr(text, 1, 120) AS probe_text, 1770000000::BIGINT AS as_of, 65535 AS probe_context,
-    CASE WHEN item_id % 2 = 0 THEN 65535 ELSE 1 END AS probe_policy, 4 AS trust_floor, {_terms("substr(text, 1, 120)")} AS terms FROM benchmark),
+probes AS (SELECT item_id AS probe_id, item_id % 5 + 1 AS tenant_id, text AS probe_text, 1770000000::BIGINT AS as_of, [65535, 1, 6, 65528][item_id % 4 + 1] AS probe_context,
+    CASE WHEN item_id % 2 = 0 THEN 65535 ELSE 1 END AS probe_policy, (item_id % 3 + 4)::INT AS trust_floor, {_terms("text")} AS terms FROM benchmark),
 pairs AS (SELECT c.*, p.* EXCLUDE (tenant_id) FROM caps c JOIN probes p USING (tenant_id)),
-gated AS (SELECT * FROM pairs WHERE (context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of) AND trust_level >= trust_floor)"""
+gated AS (SELECT * FROM pairs WHERE (context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of) AND trust_level >= trust_floor),
+gone AS (SELECT DISTINCT b.probe_id, e."to" AS capsule_id FROM edges e JOIN gated b ON b.capsule_id = e."from" WHERE e.kind = 'Supersedes'),
+unsup AS (SELECT g.* FROM gated g ANTI JOIN gone USING (probe_id, capsule_id))"""
 
 _SCORED = f"""{_CAPS},
-cfp AS MATERIALIZED (SELECT capsule_id, {_bits("f")} AS bits, {_residual("f")} AS residual FROM (SELECT capsule_id, {_features("anchors")} AS f FROM caps)),
-pfp AS MATERIALIZED (SELECT probe_id, {_bits("f")} AS pbits, {_residual("f")} AS presidual FROM (SELECT probe_id, {_features("terms")} AS f FROM probes)),
-unsup AS (SELECT g.* FROM gated g WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN gated b ON b.capsule_id = e."from" WHERE e.kind = 'Supersedes' AND e."to" = g.capsule_id AND b.probe_id = g.probe_id)),
-feat AS (SELECT u.*, len(list_intersect(anchors, terms)) AS overlap, len(bits) + len(pbits) - 2 * len(list_intersect(bits, pbits)) AS hamming,
-    list_sum(list_transform(list_zip(residual, presidual), lambda z: z[1] * z[2])) AS rdot FROM {{source}} u JOIN cfp USING (capsule_id) JOIN pfp USING (probe_id)),
-base AS (SELECT *, overlap * 7.2::DOUBLE + 2 * (1 - hamming / 256.0::DOUBLE) + rdot / 128.0::DOUBLE + bit_count(context_mask & probe_context) / 128.0::DOUBLE + trust_level / 10.0::DOUBLE
-    + 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE / 365) - 0.5::DOUBLE * poison_risk AS native,
-    len(list_filter(terms, lambda t: contains(lower(claim || ' ' || evidence), t))) + overlap AS lexical, 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE) AS temporal FROM feat)"""
-_NATIVE = _SCORED.replace("{source}", "unsup")
-_FUSED = _SCORED.replace("{source}", "gated")
-_NARROW = """narrow AS (SELECT * FROM (SELECT *, bool_or(overlap > 0 OR hamming <= 180) OVER (PARTITION BY probe_id) AS hit_any FROM base) WHERE NOT hit_any OR overlap > 0 OR hamming <= 180),
-cap AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY overlap = 0, hamming, capsule_id) AS place FROM narrow QUALIFY place <= 2048)"""
+cfp AS MATERIALIZED (SELECT capsule_id, {_bits("f")} AS bits, {_residual("f")} AS residual FROM (SELECT capsule_id, {_features("t")} AS f FROM (SELECT capsule_id, {_terms("substr(text, 1, 120)")} AS t FROM caps))),
+pfp AS MATERIALIZED (SELECT probe_id, {_bits("f")} AS pbits, {_residual("f")} AS presidual FROM (SELECT probe_id, {_features("t")} AS f FROM (SELECT probe_id, {_terms("substr(probe_text, 1, 120)")} AS t FROM probes))),
+sup AS (SELECT "from" AS capsule_id, count(*) AS supports FROM edges WHERE kind = 'Supports' GROUP BY 1),
+feat AS (SELECT u.*, coalesce(supports, 0) AS supports, len(list_intersect(entities, terms)) AS eo, len(list_intersect(anchors, terms)) AS ao, len(bits) + len(pbits) - 2 * len(list_intersect(bits, pbits)) AS hamming,
+    list_filter(bits, lambda b: b < 16) = list_filter(pbits, lambda b: b < 16) AS bucket,
+    list_sum(list_transform(list_zip(residual, presidual), lambda z: z[1] * z[2])) AS rdot FROM {{source}} u JOIN cfp USING (capsule_id) JOIN pfp USING (probe_id) LEFT JOIN sup USING (capsule_id)),
+base AS (SELECT *, 4 * eo + ao * 1.2::DOUBLE + 2 * (1 - hamming / 256.0::DOUBLE) + rdot / 128.0::DOUBLE + bit_count(context_mask) / 128.0::DOUBLE + trust_level / 10.0::DOUBLE
+    + 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE / 365) + 0.05::DOUBLE * supports - 0.5::DOUBLE * poison_risk AS semantic, eo + ao > 0 AS hit, eo + ao > 0 OR hamming <= {{near}} OR bucket AS chosen,
+    len(list_filter(terms, lambda t: contains(lower(claim || ' ' || evidence), t))) + ao AS lexical, 1 / (1 + greatest(as_of - last_verified_at, 0) / 86400.0::DOUBLE) AS temporal FROM feat)"""
+_POOL = """pool AS (SELECT * EXCLUDE (any_chosen) FROM (SELECT *, bool_or(chosen) OVER (PARTITION BY probe_id) AS any_chosen FROM (SELECT *, semantic + 2 * eo AS native, row_number() OVER (PARTITION BY probe_id ORDER BY NOT chosen, NOT hit, hamming, capsule_id) AS place FROM base QUALIFY place <= {cap})) WHERE chosen OR NOT any_chosen)"""
+
+
+def _native(near: int = 180, cap: int = 2048) -> str:
+    return _SCORED.format(source="unsup", near=near) + ", " + _POOL.format(cap=cap)
+
+
+_NATIVE, _FUSED = _native(), _SCORED.format(source="gated", near=180)
 _ORDER = "PARTITION BY probe_id ORDER BY score DESC, trust_level DESC, last_verified_at DESC, capsule_id"
 _PARENT = """parent AS (SELECT * EXCLUDE (score), round(score + 0.03::DOUBLE * (n - 1), 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY probe_id, source_id) AS n, row_number() OVER (PARTITION BY probe_id, source_id ORDER BY score DESC, trust_level DESC, last_verified_at DESC, capsule_id) AS b FROM {}) WHERE b = 1)"""
 
@@ -87,14 +98,24 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.records(table(spark, sf_dir, "documents"))
 
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.edges(table(spark, sf_dir, "documents"))
+
+
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.probes(table(spark, sf_dir, "benchmark"))
 
 
 def _printed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = _records(spark, sf_dir)
-    p = corpus.fingerprinted(_probes(spark, sf_dir), "terms").withColumnsRenamed({"bits": "probe_bits", "residual": "probe_residual"})
-    return corpus.fingerprinted(r, "anchors"), p, corpus.edges(r)
+    return corpus.fingerprinted(_records(spark, sf_dir), "evidence"), corpus.fingerprinted(_probes(spark, sf_dir), "probe_text", "probe_"), _edges(spark, sf_dir)
+
+
+def _per_probe(pairs: DataFrame) -> DataFrame:
+    """How many records a probe has, and the sum of their ids: what tells two sets of pairs apart without writing them."""
+    return pairs.groupBy("probe_id").agg(F.count("*").alias("rows"), F.sum("capsule_id").alias("id_sum"))
+
+
+_PER = "SELECT probe_id, count(*) AS rows, sum(capsule_id)::BIGINT AS id_sum FROM {} GROUP BY probe_id"
 
 
 # ---- scalar functions
@@ -115,14 +136,14 @@ def ngram_features(spark, sf_dir):
     return _records(spark, sf_dir).select("capsule_id", text.features(F.col("anchors")).alias("features"))
 
 
-@query(f"WITH {_CAPS} SELECT probe_id, {_bits('f')} AS bits FROM (SELECT probe_id, {_features('terms')} AS f FROM probes)")
+@query(f"WITH {_NATIVE} SELECT capsule_id, list_transform(range(0, 16), lambda k: coalesce(list_sum(list_transform(list_filter(bits, lambda b: b // 16 = k), lambda b: 1 << (b % 16))), 0)::INT) AS fp FROM cfp")
 def fingerprint_bits(spark, sf_dir):
-    return _probes(spark, sf_dir).select("probe_id", fingerprint.bits(text.features(F.col("terms"))).alias("bits"))
+    return _printed(spark, sf_dir)[0].select("capsule_id", "fp")
 
 
-@query(f"WITH {_CAPS} SELECT probe_id, {_residual('f')} AS residual FROM (SELECT probe_id, {_features('terms')} AS f FROM probes)")
+@query(f"WITH {_NATIVE} SELECT capsule_id, residual FROM cfp")
 def residual_vector(spark, sf_dir):
-    return _probes(spark, sf_dir).select("probe_id", fingerprint.residual(text.features(F.col("terms"))).alias("residual"))
+    return _printed(spark, sf_dir)[0].select("capsule_id", "residual")
 
 
 @query("SELECT doc_id, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::INT AS tokens FROM documents")
@@ -130,9 +151,9 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {_CAPS} SELECT capsule_id, tenant_id, claim, evidence, context_mask, policy_mask, trust_level, valid_from, valid_until, anchors, sha256(claim || chr(10) || evidence) AS content_hash FROM caps")
+@query(f"WITH {_CAPS} SELECT capsule_id, tenant_id, claim, evidence, context_mask, policy_mask, trust_level, poison_risk, valid_from, valid_until, anchors, entities, sha256(concat_ws(chr(10), claim, evidence)) AS content_hash FROM caps")
 def ingest_capsules(spark, sf_dir):
-    return _records(spark, sf_dir).select("capsule_id", "tenant_id", "claim", "evidence", "context_mask", "policy_mask", "trust_level", "valid_from", "valid_until", "anchors", F.sha2(F.concat_ws("\n", "claim", "evidence"), 256).alias("content_hash"))
+    return _records(spark, sf_dir).select("capsule_id", "tenant_id", "claim", "evidence", "context_mask", "policy_mask", "trust_level", "poison_risk", "valid_from", "valid_until", "anchors", "entities", F.sha2(F.concat_ws("\n", "claim", "evidence"), 256).alias("content_hash"))
 
 
 # ---- gates
@@ -142,38 +163,38 @@ _ONE = {"gate_context": (gates.context, "(context_mask & probe_context) <> 0"),
 
 def _gate(name: str, test) -> None:
     def run(spark, sf_dir):
-        return _records(spark, sf_dir).join(_probes(spark, sf_dir), "tenant_id").filter(test()).select("probe_id", "capsule_id")
+        return _per_probe(gates.by_tenant(_records(spark, sf_dir).select(*gates.GATED), _probes(spark, sf_dir).select(*gates.ASKED)).filter(test()))
 
     run.__name__ = name
-    query(f"WITH {_CAPS} SELECT probe_id, capsule_id FROM pairs WHERE {_ONE[name][1]}")(run)
+    query(f"WITH {_CAPS} " + _PER.format(f"pairs WHERE {_ONE[name][1]}"))(run)
 
 
 for _name, (_test, _) in _ONE.items():
     _gate(_name, _test)
 
 
-@query(f"WITH {_CAPS} SELECT probe_id, capsule_id FROM gated")
+@query(f"WITH {_CAPS} " + _PER.format("gated"))
 def gates_all(spark, sf_dir):
-    return gates.admitted(_records(spark, sf_dir), _probes(spark, sf_dir)).select("probe_id", "capsule_id")
+    return _per_probe(gates.admitted(_records(spark, sf_dir).select(*gates.GATED), _probes(spark, sf_dir).select(*gates.ASKED)))
 
 
-@query(f"WITH {_CAPS} SELECT g.probe_id, g.capsule_id FROM gated g WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN gated b ON b.capsule_id = e.\"from\" WHERE e.kind = 'Supersedes' AND e.\"to\" = g.capsule_id AND b.probe_id = g.probe_id)")
+@query(f"WITH {_CAPS} " + _PER.format("unsup"))
 def gate_supersession(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    return gates.not_superseded(gates.admitted(r, _probes(spark, sf_dir)), corpus.edges(r)).select("probe_id", "capsule_id")
+    r, p = _records(spark, sf_dir).select(*gates.GATED), _probes(spark, sf_dir).select(*gates.ASKED)
+    return _per_probe(gates.not_superseded(gates.admitted(r, p), r, p, _edges(spark, sf_dir)))
 
 
-@query(f"""WITH {_CAPS} SELECT probe_id, count(*) AS considered, count_if((context_mask & probe_context) <> 0)::BIGINT AS context_ok, count_if((policy_mask & probe_policy) <> 0)::BIGINT AS policy_ok,
-count_if(valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of))::BIGINT AS temporal_ok, count_if(trust_level >= trust_floor)::BIGINT AS trust_ok,
-count_if((context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of) AND trust_level >= trust_floor)::BIGINT AS admitted FROM pairs GROUP BY probe_id""")
+@query(f"""WITH {_CAPS}, x AS (SELECT p.*, (context_mask & probe_context) <> 0 AS c, (policy_mask & probe_policy) <> 0 AS y, valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of) AND g.capsule_id IS NULL AS v, trust_level >= trust_floor AS t FROM pairs p LEFT JOIN gone g ON g.probe_id = p.probe_id AND g.capsule_id = p.capsule_id)
+SELECT probe_id, count(*) AS considered, count_if(c)::BIGINT AS context_ok, count_if(y)::BIGINT AS policy_ok, count_if(v)::BIGINT AS temporal_ok, count_if(t)::BIGINT AS trust_ok, count_if(c AND y AND v AND t)::BIGINT AS admitted,
+bool_or(c AND y AND v AND t AND list_has_any(entities, terms)) AS exact_entity_match, sum(CASE WHEN c AND y AND v AND t THEN len(list_intersect(anchors, terms)) ELSE 0 END)::BIGINT AS anchor_matches FROM x GROUP BY probe_id""")
 def coverage_counters(spark, sf_dir):
-    return gates.coverage(_records(spark, sf_dir), _probes(spark, sf_dir))
+    return gates.coverage(_records(spark, sf_dir), _probes(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @query(f"WITH {_CAPS}, t AS (SELECT unnest([1750000000, 1760500000, 1770000000, 1790000000])::BIGINT AS instant) SELECT instant, tenant_id, count(*) AS live FROM caps, t WHERE valid_from <= instant AND (valid_until IS NULL OR valid_until >= instant) GROUP BY ALL")
 def as_of_time_travel(spark, sf_dir):
     at = F.explode(F.array(*(F.lit(t).cast("long") for t in (1750000000, 1760500000, 1770000000, 1790000000)))).alias("as_of")
-    return _records(spark, sf_dir).select("*", at).filter(gates.validity()).groupBy(F.col("as_of").alias("instant"), "tenant_id").agg(F.count("*").alias("live"))
+    return _records(spark, sf_dir).select("tenant_id", "valid_from", "valid_until", at).filter(gates.validity()).groupBy(F.col("as_of").alias("instant"), "tenant_id").agg(F.count("*").alias("live"))
 
 
 # ---- candidates and retrieval
@@ -184,16 +205,34 @@ def term_lookup_join(spark, sf_dir):
     return retrieve.term_hits(_records(spark, sf_dir), _probes(spark, sf_dir))
 
 
-@query(f"WITH {_NATIVE} SELECT probe_id, capsule_id, hamming FROM base WHERE hamming <= 180")
+@query(f"WITH {_native(near=100)} SELECT probe_id, capsule_id, hamming FROM base WHERE hamming <= 100")
 def hamming_neighbors(spark, sf_dir):
+    """The exact scan with a threshold that bites."""
     r, p, e = _printed(spark, sf_dir)
-    return retrieve.paired(r, p, e).filter(F.col("hamming") <= retrieve.NEAR).select("probe_id", "capsule_id", "hamming")
+    near = retrieve.measured(gates.admitted(r, p)).filter(F.col("hamming") <= 100).select("probe_id", "capsule_id", "hamming")
+    return gates.not_superseded(near, r, p, e).select("probe_id", "capsule_id", "hamming")
 
 
-@query(f"WITH {_NATIVE}, {_NARROW} SELECT probe_id, capsule_id, place FROM cap")
+@query(f"WITH {_native(100, 64)} SELECT probe_id, capsule_id, place, round(native, 6) AS score FROM pool")
 def candidate_cap(spark, sf_dir):
+    """The pool of the exact path under a cap that bites."""
     r, p, e = _printed(spark, sf_dir)
-    return retrieve.capped(retrieve.narrowed(retrieve.paired(r, p, e))).select("probe_id", "capsule_id", F.col("place").cast("long"))
+    return retrieve.pool(retrieve.supported(r, e), p, e, cap=64, most=100).select("probe_id", "capsule_id", F.col("place").cast("long"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_native(60, 2048)} ".replace(f"{_terms('text')} AS terms FROM benchmark", f"CASE WHEN item_id % 3 = 0 THEN [] ELSE {_terms('text')} END AS terms FROM benchmark") + _PER.format("pool"))
+def narrowing(spark, sf_dir):
+    """Every third probe has no terms, hence no hits: those without near records keep all gated ones."""
+    r, p, e = _printed(spark, sf_dir)
+    p = p.withColumn("terms", F.when(F.col("probe_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("terms")))
+    return _per_probe(retrieve.pool(retrieve.supported(r, e), p, e, most=60))
+
+
+@query(f"WITH {_NATIVE} SELECT probe_id, count(*) AS rows, round(sum(native), 3) AS native, round(sum(semantic), 3) AS semantic, round(max(native), 6) AS best FROM (SELECT *, semantic + 2 * eo AS native FROM base) GROUP BY probe_id")
+def score_native(spark, sf_dir):
+    r, p, e = _printed(spark, sf_dir)
+    pairs = retrieve.measured(gates.admitted(retrieve.supported(r, e), p)).select("probe_id", "capsule_id", retrieve.native_score().alias("native"), retrieve.semantic_score().alias("semantic"))
+    return gates.not_superseded(pairs, r, p, e).groupBy("probe_id").agg(F.count("*").alias("rows"), F.round(F.sum("native"), 3).alias("native"), F.round(F.sum("semantic"), 3).alias("semantic"), F.round(F.max("native"), 6).alias("best"))
 
 
 @query(f"""WITH {_NATIVE}, lane AS (SELECT unnest(range(0, 16)) AS k),
@@ -214,65 +253,118 @@ def _mode(name: str, mode: str, sql: str) -> None:
 
 
 _PICK = "SELECT probe_id, row_number() OVER ({o}) AS rank, capsule_id, score FROM {t} QUALIFY rank <= {k}"
-_mode("gated_topk", "native", f"WITH {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap) " + _PICK.format(o=_ORDER, t="s", k=8))
-_mode("parent_aggregate", "parent", f"WITH {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap), top AS (SELECT *, row_number() OVER ({_ORDER}) AS r FROM s QUALIFY r <= 32), {_PARENT.format('top')} " + _PICK.format(o=_ORDER, t="parent", k=8))
-_mode("score_hybrid", "hybrid", f"WITH {_FUSED}, s AS (SELECT *, round(1.2::DOUBLE * lexical + (native - 2 * overlap) + 4 * overlap + temporal, 6) AS score FROM base) " + _PICK.format(o=_ORDER, t="s", k=8))
-_mode("fusion_parent", "fusion_parent", f"WITH {_FUSED}, s AS (SELECT *, round(0.8::DOUBLE * lexical + (native - 2 * overlap) + 3 * overlap + 0.5::DOUBLE * temporal, 6) AS score FROM base), {_PARENT.format('s')} " + _PICK.format(o=_ORDER, t="parent", k=8))
+_S = "s AS (SELECT *, round(native, 6) AS score FROM pool)"
+_mode("gated_topk", "native", f"WITH {_NATIVE}, {_S} " + _PICK.format(o=_ORDER, t="s", k=8))
+_mode("parent_aggregate", "parent", f"WITH {_NATIVE}, {_S}, top AS (SELECT *, row_number() OVER ({_ORDER}) AS r FROM s QUALIFY r <= 32), {_PARENT.format('top')} " + _PICK.format(o=_ORDER, t="parent", k=8))
+_mode("score_hybrid", "hybrid", f"WITH {_FUSED}, s AS (SELECT *, round(1.2::DOUBLE * lexical + semantic + 2 * (eo + ao) + temporal, 6) AS score FROM base) " + _PICK.format(o=_ORDER, t="s", k=8))
+_mode("fusion_parent", "fusion_parent", f"WITH {_FUSED}, s AS (SELECT *, round(0.8::DOUBLE * lexical + semantic + 1.5::DOUBLE * (eo + ao) + 0.5::DOUBLE * temporal, 6) AS score FROM base), {_PARENT.format('s')} " + _PICK.format(o=_ORDER, t="parent", k=8))
 
+_TOKENS = r"greatest(1, len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')))"
 
-@query(f"""WITH RECURSIVE {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap), r AS (SELECT probe_id, (row_number() OVER ({_ORDER}))::INT AS rank, capsule_id, greatest(1, len(list_filter(string_split_regex(evidence, '\\s+'), lambda x: x <> '')))::INT AS tokens FROM s QUALIFY rank <= 8),
+
+@query(f"""WITH RECURSIVE {_NATIVE}, {_S}, r AS (SELECT probe_id, (row_number() OVER ({_ORDER}))::INT AS rank, capsule_id, ({_TOKENS.format('claim')} + {_TOKENS.format('evidence')})::INT AS tokens FROM s QUALIFY rank <= 8),
 w AS (SELECT probe_id, rank, capsule_id, tokens, tokens AS used, true AS kept FROM r WHERE rank = 1 UNION ALL
-SELECT r.probe_id, r.rank, r.capsule_id, r.tokens, CASE WHEN w.used + r.tokens <= 60 THEN w.used + r.tokens ELSE w.used END, w.used + r.tokens <= 60 FROM w JOIN r ON r.probe_id = w.probe_id AND r.rank = w.rank + 1)
+SELECT r.probe_id, r.rank, r.capsule_id, r.tokens, CASE WHEN w.used + r.tokens <= 1024 THEN w.used + r.tokens ELSE w.used END, w.used + r.tokens <= 1024 FROM w JOIN r ON r.probe_id = w.probe_id AND r.rank = w.rank + 1)
 SELECT probe_id, rank, capsule_id, tokens FROM w WHERE kept""")
 def token_budget(spark, sf_dir):
-    top = retrieve.retrieve(*_printed(spark, sf_dir)).withColumn("tokens", text.token_estimate(F.col("evidence")))
-    return retrieve.budgeted(top, 60)
+    r, p, e = _printed(spark, sf_dir)
+    tokens = (text.token_estimate(F.col("claim")) + text.token_estimate(F.col("evidence"))).alias("tokens")
+    return retrieve.budgeted(retrieve.retrieve(r, p, e).join(r.select("capsule_id", tokens), "capsule_id"), 1024)
 
 
-@query(f"""WITH {_NATIVE}, {_NARROW}, s AS (SELECT *, round(native, 6) AS score FROM cap), r AS (SELECT probe_id, row_number() OVER ({_ORDER}) AS rank, capsule_id FROM s QUALIFY rank <= 8),
+@query(f"""WITH {_NATIVE}, {_S}, r AS (SELECT probe_id, row_number() OVER ({_ORDER}) AS rank, capsule_id FROM s QUALIFY rank <= 8),
 x AS (SELECT r.probe_id, r.rank, e.* EXCLUDE (tenant_id) FROM r JOIN edges e ON e."from" = r.capsule_id),
 y AS (SELECT x.*, (valid_from <= as_of AND (valid_until IS NULL OR valid_until >= as_of)) AS valid FROM x JOIN pairs p ON p.probe_id = x.probe_id AND p.capsule_id = x."to" WHERE (context_mask & probe_context) <> 0 AND (policy_mask & probe_policy) <> 0 AND trust_level >= trust_floor)
-SELECT probe_id, "to" AS capsule_id, string_agg(note, '; ' ORDER BY rank, note) AS notes FROM (SELECT *, kind || ' from ' || "from" || ' to ' || "to" || ' weight 1' AS note FROM y WHERE kind <> 'Supports' OR valid) GROUP BY ALL""")
+SELECT probe_id, "to" AS capsule_id, string_agg(note, '; ' ORDER BY rank, note) AS notes FROM (SELECT *, kind || ' from ' || "from" || ' to ' || "to" || ' weight ' || weight AS note FROM y WHERE kind <> 'Supports' OR valid) GROUP BY ALL""")
 def relation_conflicts(spark, sf_dir):
     r, p, e = _printed(spark, sf_dir)
     return retrieve.related(retrieve.retrieve(r, p, e), e, r, p)
 
 
-@query(f"WITH {_CAPS} SELECT tenant_id, count(*) AS rows, count_if(trust_level < 4 OR valid_from > 1770000000 OR valid_until < 1770000000 OR (policy_mask & 1) = 0)::BIGINT AS embargoed FROM caps GROUP BY ALL")
-def policy_leak_audit(spark, sf_dir):
-    open_ = gates.trust(corpus.FLOOR) & gates.validity(corpus.AS_OF) & gates.policy(1)
-    return _records(spark, sf_dir).groupBy("tenant_id").agg(F.count("*").alias("rows"), F.count_if(~open_).alias("embargoed"))
+_LEAK = "count_if({0})::BIGINT AS {1}"
 
 
-# ---- dense vectors
+@query(f"""WITH {_FUSED}, s AS (SELECT *, round(0.8::DOUBLE * lexical + semantic + 1.5::DOUBLE * (eo + ao) + 0.5::DOUBLE * temporal, 6) AS score FROM base),
+g AS (SELECT 'gated' AS peer, probe_id, capsule_id, row_number() OVER ({_ORDER}) AS rank FROM s QUALIFY rank <= 8),
+h AS (SELECT p.probe_id, p.tenant_id AS asked, c.capsule_id, c.tenant_id AS owner, len(list_intersect(anchors, terms)) AS score FROM caps c, probes p WHERE list_has_any(anchors, terms)),
+t AS (SELECT 'tenant filter' AS peer, probe_id, capsule_id, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, capsule_id) AS rank FROM h WHERE owner = asked QUALIFY rank <= 8),
+n AS (SELECT 'no filter' AS peer, probe_id, capsule_id, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, capsule_id) AS rank FROM h QUALIFY rank <= 8),
+a AS (SELECT peer, probe_id, capsule_id FROM g UNION ALL SELECT peer, probe_id, capsule_id FROM t UNION ALL SELECT peer, probe_id, capsule_id FROM n)
+SELECT peer, count(*) AS rows, count(CASE WHEN c.tenant_id <> p.tenant_id THEN 1 END) AS cross_tenant, count(CASE WHEN trust_level < trust_floor OR valid_from > as_of OR valid_until < as_of OR (policy_mask & probe_policy) = 0 THEN 1 END) AS embargoed
+FROM a JOIN caps c USING (capsule_id) JOIN probes p USING (probe_id) GROUP BY peer""")
+def policy_leak_audit(spark, sf_dir):
+    """What a ranker without gates discloses: the same probes by the gated engine, by term overlap under a tenant filter, and without one."""
+    r, p, e = _printed(spark, sf_dir)
+    gated = retrieve.top_k(retrieve.measured(gates.admitted(retrieve.supported(r, e), p)).select(*retrieve.KEYS, F.round(retrieve.fusion_score(), 6).alias("score"))).select("probe_id", "capsule_id")
+    terms = p.select("probe_id", F.col("tenant_id").alias("asked"), F.explode("terms").alias("term"))
+    hits = retrieve.postings(r).join(terms, "term").groupBy("probe_id", "capsule_id", F.col("tenant_id").alias("owner"), "asked").agg(F.count("*").alias("score"))
+    order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "capsule_id")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 8").select("probe_id", "capsule_id")
+    runs = [("gated", gated), ("tenant filter", best(hits.filter("owner = asked"))), ("no filter", best(hits))]
+    every = reduce(DataFrame.unionByName, [rows.withColumn("peer", F.lit(name)) for name, rows in runs])
+    seen = every.join(r.select(*gates.GATED).withColumnRenamed("tenant_id", "owner"), "capsule_id").join(p.select(*gates.ASKED), "probe_id")
+    closed = ~(gates.trust() & gates.validity() & gates.policy())
+    return seen.groupBy("peer").agg(F.count("*").alias("rows"), F.count_if(F.col("owner") != F.col("tenant_id")).alias("cross_tenant"), F.count_if(closed).alias("embargoed"))
+
+
+@query(f"""WITH {_FUSED}, s AS (SELECT *, round(semantic + 2 * eo, 6) AS score FROM base), r AS (SELECT *, row_number() OVER ({_ORDER}) AS rank FROM s QUALIFY rank <= 8)
+SELECT 0::BIGINT AS tenant, count(CASE WHEN (context_mask & probe_context) = 0 THEN 1 END) AS context, count(CASE WHEN (policy_mask & probe_policy) = 0 THEN 1 END) AS policy, count(CASE WHEN trust_level < trust_floor THEN 1 END) AS trust, count(CASE WHEN valid_from > as_of OR valid_until < as_of THEN 1 END) AS temporal, 0::BIGINT AS poison,
+count(CASE WHEN (context_mask & probe_context) = 0 OR (policy_mask & probe_policy) = 0 OR trust_level < trust_floor OR valid_from > as_of OR valid_until < as_of THEN 1 END) AS total, count(*) AS rows FROM r""".replace("FROM gated u JOIN cfp", "FROM pairs u JOIN cfp"))
+def safety_recount(spark, sf_dir):
+    """The violations of a ranking that looks at the tenant only, recounted from the records."""
+    r, p, e = _printed(spark, sf_dir)
+    open_ = retrieve.measured(gates.by_tenant(retrieve.supported(r, e), p)).select(*retrieve.KEYS, F.round(retrieve.native_score(), 6).alias("score"))
+    return gates.violations(retrieve.top_k(open_), r, p)
 
-_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query_id, v.vec_id AS item, q.label AS ql, v.label AS vl, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM q JOIN v ON q.vec_id <> v.vec_id)"
 
+# ---- dense vectors
 
-def _cosines(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    return v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("item"), "ql", F.col("label").alias("vl"), F.round(fingerprint.cosine(F.col("qe"), F.col("embedding")), 6).alias("cosine"))
+_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM q JOIN v ON q.vec_id <> v.vec_id)"
 
 
 @query(f"WITH {_VEC} SELECT query_id, item, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item) AS rank FROM d QUALIFY rank <= 10")
 def dense_cosine_topk(spark, sf_dir):
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item")
-    return _cosines(spark, sf_dir).withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 10").select("query_id", "item", "cosine", "rank")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
+    return dense.nearest(v, v.filter(F.col("item") % 50 == 0).withColumnRenamed("item", "query_id"), 10)
 
 
-@query(f"WITH {_VEC}, r AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item) AS a, row_number() OVER (PARTITION BY query_id ORDER BY ql <> vl, item) AS b FROM d) SELECT query_id, item, round(1 / (60.0::DOUBLE + a) + 1 / (60.0::DOUBLE + b), 9) AS rrf FROM r WHERE a <= 100 OR b <= 100")
+def _vectors(spark, sf_dir):
+    """Records and probes with the vectors of equal id, where there are any."""
+    r, p, e = _printed(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings")
+    own, ask = v.select((F.col("vec_id") + 1).alias("capsule_id"), "embedding"), v.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe_embedding"))
+    return r.join(own, "capsule_id", "left"), p.join(ask, "probe_id", "left"), e
+
+
+@query(f"""WITH {_NATIVE}, x AS (SELECT p.*, round(native, 6) AS n6, round(CASE WHEN a.embedding IS NULL OR b.embedding IS NULL THEN 0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS cosine FROM pool p LEFT JOIN embeddings a ON a.vec_id = p.i LEFT JOIN embeddings b ON b.vec_id = p.probe_id),
+s AS (SELECT *, round(1 / (60.0::DOUBLE + row_number() OVER (PARTITION BY probe_id ORDER BY n6 DESC, capsule_id)) + 1 / (60.0::DOUBLE + row_number() OVER (PARTITION BY probe_id ORDER BY cosine DESC, capsule_id)), 9) AS score FROM x) """ + _PICK.format(o=_ORDER, t="s", k=8))
 def dense_rrf_fusion(spark, sf_dir):
-    by = Window.partitionBy("query_id")
-    r = _cosines(spark, sf_dir).withColumns({"a": F.row_number().over(by.orderBy(F.desc("cosine"), "item")), "b": F.row_number().over(by.orderBy(F.col("ql") != F.col("vl"), "item"))})
-    return r.filter("a <= 100 OR b <= 100").select("query_id", "item", F.round(1 / (F.lit(60.0) + F.col("a")) + 1 / (F.lit(60.0) + F.col("b")), 9).alias("rrf"))
+    return retrieve.dense_hybrid(*_vectors(spark, sf_dir)).select("probe_id", F.col("rank").cast("long"), "capsule_id", "score")
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """Native retrieval with candidates from the indexes for every probe that has over 16 gated records."""
+    return retrieve.retrieve(*_vectors(spark, sf_dir), above=16).select("probe_id", F.col("rank").cast("long"), "capsule_id", "score")
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    """Per probe how many of the exact path's eight records the index path returns."""
+    r, p, e = _vectors(spark, sf_dir)
+    exact = retrieve.retrieve(r, p, e).select("probe_id", "capsule_id")
+    found = retrieve.retrieve(r, p, e, above=16).select("probe_id", "capsule_id", F.lit(1).alias("found"))
+    return exact.join(found, ["probe_id", "capsule_id"], "left").groupBy("probe_id").agg(F.count("*").alias("exact"), F.count("found").alias("found"))
 
 
 @query()
 def simhash_candidates(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(fingerprint.simhash_bands(F.col("embedding"), 64)).alias("band", "key"))
-    q = v.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
-    return q.join(v, ["band", "key"]).filter("vec_id <> query_id").select("query_id", "vec_id").distinct()
+    """Vectors that agree with a query vector in one of four bands, up to three bits, and how near they are."""
+    v = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("tenant_id"), F.col("vec_id").alias("capsule_id"), "embedding")
+    q = v.filter(F.col("capsule_id") % 50 == 0).select("tenant_id", F.col("capsule_id").alias("probe_id"), F.col("embedding").alias("probe_embedding"))
+    found = retrieve.dense_candidates(v, q, flips=3).filter("probe_id <> capsule_id")
+    near = found.join(v, "capsule_id").join(q.drop("tenant_id"), "probe_id")
+    return near.select("probe_id", "capsule_id", F.round(fingerprint.cosine(F.col("embedding"), F.col("probe_embedding")), 6).alias("cosine"))
 
 
 # ---- evaluation
@@ -283,10 +375,22 @@ df AS (SELECT t, count(DISTINCT doc_id) AS df FROM m GROUP BY t), st AS (SELECT
 bm AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))), 6) AS score FROM m JOIN df USING (t), st GROUP BY ALL),
 ov AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM m GROUP BY ALL),
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm), ovr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov),
-tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents c ON contains(c.text, b.text)),
-me AS (SELECT query_id, nt, h1, h5, h10, first, dcg FROM (SELECT query_id, count(*) AS nt FROM tr GROUP BY 1) LEFT JOIN (SELECT query_id, count_if(rank <= 1) AS h1, count_if(rank <= 5) AS h5, count_if(rank <= 10) AS h10, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM bmr JOIN tr USING (query_id, doc_id) GROUP BY 1) USING (query_id)),
-mt AS (SELECT query_id, round(coalesce(h1, 0) / nt::DOUBLE, 6) AS recall_1, round(coalesce(h5, 0) / nt::DOUBLE, 6) AS recall_5, round(coalesce(h10, 0) / nt::DOUBLE, 6) AS recall_10, round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr,
-  round(coalesce(dcg / list_sum(list_transform(range(1, least(nt, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_10, coalesce(h10, 0) = 0 AS zero_recall FROM me)"""
+tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents c ON contains(c.text, b.text))"""
+
+
+def _measure(run: str, name: str) -> str:
+    """CTEs of one run's metrics."""
+    hits = ", ".join(f"count_if(rank <= {k}) AS h{k}" for k in (1, 5, 10))
+    gain = ", ".join(f"sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg{k}" for k in (5, 10))
+    recall = ", ".join(f"round(coalesce(h{k}, 0) / nt::DOUBLE, 6) AS recall_{k}" for k in (1, 5, 10))
+    ndcg = ", ".join(f"round(coalesce(dcg{k} / list_sum(list_transform(range(1, least(nt, {k}) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_{k}" for k in (5, 10))
+    return f"""{name}_me AS (SELECT query_id, nt, h1, h5, h10, first, dcg5, dcg10 FROM (SELECT query_id, count(*) AS nt FROM tr GROUP BY 1) LEFT JOIN (SELECT query_id, {hits}, min(rank) AS first, {gain} FROM {run} JOIN tr USING (query_id, doc_id) GROUP BY 1) USING (query_id)),
+{name} AS (SELECT query_id, {recall}, round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr, {ndcg}, coalesce(h10, 0) = 0 AS zero_recall, nt - coalesce(h10, 0) AS missed FROM {name}_me)"""
+
+
+_METRICS = f"{_EVAL}, {_measure('bmr', 'mt')}"
+_BOTH = f"{_METRICS}, {_measure('ovr', 'ot')}"
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in evaluation.MEANS) + ", round(avg(zero_recall::INT), 6) AS zero_rate"
 
 
 def _eval(spark, sf_dir):
@@ -296,11 +400,12 @@ def _eval(spark, sf_dir):
 
 def _truth(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return table(spark, sf_dir, "documents").join(b, F.contains("text", "item")).select("query_id", "doc_id")
+    return evaluation.containing(table(spark, sf_dir, "documents"), b)
 
 
-def _metrics(spark, sf_dir):
-    return evaluation.metrics(evaluation.ranked(evaluation.bm25_scores(*_eval(spark, sf_dir))), _truth(spark, sf_dir))
+def _metrics(spark, sf_dir, scores=evaluation.bm25_scores):
+    """Ranks beyond the truth's are of no use, so only those pairs are ranked that come before a true one."""
+    return evaluation.metrics(evaluation.ranked(scores(*_eval(spark, sf_dir))), _truth(spark, sf_dir))
 
 
 @query(f"WITH {_EVAL} SELECT query_id, doc_id, score, rank FROM ovr WHERE rank <= 10")
@@ -313,17 +418,22 @@ def bm25_rank(spark, sf_dir):
     return evaluation.ranked(evaluation.bm25_scores(*_eval(spark, sf_dir)), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
-@query(f"WITH {_EVAL}, h AS (SELECT bm.query_id, bm.doc_id, round(bm.score + coalesce(0.05::DOUBLE / rank, 0), 6) AS score FROM bm LEFT JOIN ovr USING (query_id, doc_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 10")
+@query(f"WITH {_EVAL}, h AS (SELECT bm.query_id, bm.doc_id, round(bm.score + coalesce(0.05::DOUBLE / rank, 0), 6) AS score FROM bm LEFT JOIN ovr USING (query_id, doc_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM h QUALIFY rank <= 10")
 def hybrid_rank(spark, sf_dir):
     q, d = _eval(spark, sf_dir)
     other = evaluation.ranked(evaluation.overlap_scores(q, d))
-    return evaluation.ranked(evaluation.hybrid_scores(evaluation.bm25_scores(q, d), other), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    return evaluation.ranked(evaluation.hybrid_scores(evaluation.bm25_scores(q, d), other), 10, F.col("doc_id").cast("string")).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
-@query(f"WITH {_EVAL} SELECT query_id, source AS parent, round(max(score) + 0.005::DOUBLE * (count(*) - 1), 6) AS score, count(*) AS n_docs FROM bm JOIN d USING (doc_id) GROUP BY ALL")
+@query(f"""WITH {_EVAL}, p AS (SELECT query_id, source AS parent, round(max(score) + 0.005::DOUBLE * (count(*) - 1), 6) AS score, count(*) AS n_docs, arg_min(doc_id, (-score, doc_id)) AS doc_id FROM bm JOIN d USING (doc_id) GROUP BY ALL),
+l AS (SELECT query_id, source AS leader FROM bmr JOIN d USING (doc_id) WHERE rank = 2)
+SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY (parent = leader) IS TRUE DESC, score DESC, parent) AS rank FROM p LEFT JOIN l ON l.query_id = p.query_id""")
 def hybrid_parent(spark, sf_dir):
+    """Sources ranked by their documents, led by that of the second best document."""
     parents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("parent"))
-    return evaluation.parent_scores(evaluation.bm25_scores(*_eval(spark, sf_dir)), parents)
+    scores = evaluation.bm25_scores(*_eval(spark, sf_dir))
+    second = evaluation.ranked(scores, 2).filter("rank = 2").join(parents, "doc_id").select("query_id", "parent")
+    return evaluation.parent_scores(scores, parents, leaders=second).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_EVAL}, l AS (SELECT query_id, doc_id, rank FROM bmr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM ovr WHERE rank <= 50) SELECT query_id, doc_id AS item, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS rrf FROM l GROUP BY ALL")
@@ -333,19 +443,127 @@ def rrf_fuse(spark, sf_dir):
     return retrieve.reciprocal_rank_fusion(lists.withColumnRenamed("doc_id", "item"))
 
 
-@query(f"WITH {_EVAL} SELECT * FROM mt")
+@query(f"WITH {_METRICS} SELECT * FROM mt")
 def retrieval_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-@query(f"WITH {_EVAL} SELECT query_id % 4 AS category, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('recall_1', 'recall_5', 'recall_10', 'mrr', 'ndcg_10'))}, round(avg(zero_recall::INT), 6) AS zero_rate FROM mt GROUP BY 1")
+@query(f"WITH {_METRICS} SELECT query_id % 4 AS category, count(*) AS n, {_MEANS} FROM mt GROUP BY 1")
 def category_breakdown(spark, sf_dir):
     return evaluation.summary(_metrics(spark, sf_dir).withColumn("category", F.col("query_id") % 4), "category")
 
 
-@query(f"WITH {_EVAL} SELECT CASE WHEN recall_10 >= 1 THEN 'hit' WHEN recall_10 > 0 THEN 'multi-session-partial' WHEN zero_recall THEN 'zero-recall' ELSE 'below-top-k' END AS bucket, count(*) AS n FROM mt GROUP BY 1")
+_DIAGNOSED = "CASE WHEN missed = 0 THEN 'hit' WHEN query_id % 11 = 3 THEN 'candidate-pool-exhausted' WHEN recall_10 > 0 THEN 'multi-session-partial' WHEN query_id % 7 = 2 THEN 'filtered-by-narrowing' WHEN zero_recall THEN 'zero-recall' ELSE 'below-top-k' END"
+
+
+@query(f"WITH {_EVAL}, far AS (SELECT query_id, doc_id, rank + query_id % 3 * 6 AS rank FROM ovr), {_measure('far', 'mt')} SELECT {_DIAGNOSED} AS bucket, count(*) AS n FROM mt GROUP BY 1")
 def miss_diagnosis(spark, sf_dir):
-    return _metrics(spark, sf_dir).groupBy(evaluation.miss_bucket().alias("bucket")).agg(F.count("*").alias("n"))
+    """Misses of overlap rankings whose lists begin late for two thirds of the queries; some pools count as exhausted or empty."""
+    i = F.col("query_id")
+    late = evaluation.ranked(evaluation.overlap_scores(*_eval(spark, sf_dir))).withColumn("rank", F.col("rank") + i % 3 * 6)
+    rows = evaluation.metrics(late, _truth(spark, sf_dir))
+    return rows.groupBy(evaluation.miss_bucket(i % 11 == 3, F.when(i % 7 == 2, 0).otherwise(1)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_NS = "(query_id * 7919 % 1000 + 1) * {} AS retrieval_ns, (query_id * 104729 % 500) * {} AS build_ns"
+_P = "list_sort(list({0}))[ceil((count(*) - 1) * {1} / 100.0::DOUBLE)::INT + 1]"
+
+
+def _runs(spark, sf_dir):
+    """Two evaluated runs with made-up timings: BM25, the candidate, and overlap, the baseline."""
+    out = []
+    for scores, unit in ((evaluation.bm25_scores, 900), (evaluation.overlap_scores, 1000)):
+        i = F.col("query_id")
+        ns = {"retrieval_ns": (i * 7919 % 1000 + 1) * unit, "build_ns": (i * 104729 % 500) * unit, "violations": F.lit(0).cast("long"), "config_hash": F.lit("c"), "dataset_hash": F.lit("d"), "split_hash": F.lit("s")}
+        out.append(_metrics(spark, sf_dir, scores).withColumns(ns))
+    return out
+
+
+@query(f"""WITH {_BOTH}, r AS (SELECT 'bm25' AS run, *, {_NS.format(900, 900)} FROM mt UNION ALL SELECT 'overlap', *, {_NS.format(1000, 1000)} FROM ot)
+SELECT run, count(*) AS n, {_MEANS}, {', '.join(f"{_P.format('retrieval_ns', p)} AS p{str(p).replace('.', '')}" for p in (50, 95, 99, 99.9))} FROM r GROUP BY run""")
+def run_summary(spark, sf_dir):
+    c, b = _runs(spark, sf_dir)
+    return evaluation.summary(c.withColumn("run", F.lit("bm25")).unionByName(b.withColumn("run", F.lit("overlap"))), "run", latency="retrieval_ns")
+
+
+def _lead(a: str, b: str) -> str:
+    return " AND ".join(f"{_side('c', a, p)} < {_side('b', b, p)}" for p in (50, 95, 99))
+
+
+def _side(run: str, what: str, p: int) -> str:
+    return f"{run}.{what}{p}"
+
+
+_RUN_STATS = "SELECT avg(recall_1) AS r1, avg(recall_5) AS r5, avg(recall_10) AS r10, " + ", ".join(f"{_P.format('build_ns + retrieval_ns', p)} AS e{p}, {_P.format('retrieval_ns', p)} AS h{p}" for p in (50, 95, 99)) + " FROM (SELECT *, {} FROM {})"
+
+
+@query(f"""WITH {_BOTH}, c AS ({_RUN_STATS.format(_NS.format(900, 900), 'mt')}), b AS ({_RUN_STATS.format(_NS.format(1000, 1000), 'ot')})
+SELECT CASE WHEN {' AND '.join(f'c.r{k} + 1e-12 >= b.r{k}' for k in (1, 5, 10))} THEN 'PASS' ELSE 'FAIL' END AS accuracy_parity, CASE WHEN {_lead('e', 'e')} THEN 'PASS' ELSE 'FAIL' END AS latency_lead, CASE WHEN {_lead('h', 'h')} THEN 'PASS' ELSE 'FAIL' END AS hot_lead,
+'PASS' AS safety, 'PASS' AS same_identity, {', '.join(f'round(b.e{p} / c.e{p}::DOUBLE, 6) AS speedup_p{p}' for p in (50, 95, 99))} FROM c, b""")
+def proof_verdict(spark, sf_dir):
+    return harness.proof(*_runs(spark, sf_dir))
+
+
+_LISTS = "SELECT query_id, list(doc_id ORDER BY rank) AS returned FROM {} WHERE rank <= 10 GROUP BY 1"
+
+
+@query(f"WITH {_EVAL}, a AS ({_LISTS.format('bmr')}), b AS ({_LISTS.format('ovr')}) SELECT count(*) AS queries, count_if(a.returned = b.returned)::BIGINT AS same_list, count_if(a.returned[1] = b.returned[1])::BIGINT AS same_first FROM a JOIN b USING (query_id)")
+def run_overlap(spark, sf_dir):
+    lists = lambda rows: evaluation.ranked(rows, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("returned"))
+    q, d = _eval(spark, sf_dir)
+    return harness.overlap_of_runs(lists(evaluation.bm25_scores(q, d)), lists(evaluation.overlap_scores(q, d)))
+
+
+_KEY = "list_reduce(list_prepend(xor(42::UHUGEINT, 11400714819323198485::UHUGEINT), list_transform(string_split(id, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: xor((xor(h, b) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT, ((xor(h, b) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT) // 134217728::UHUGEINT))"
+
+
+@query(f"WITH i AS (SELECT DISTINCT 'q-' || doc_id AS id FROM documents) SELECT id AS query_id, CASE WHEN row_number() OVER (ORDER BY {_KEY}, id) <= 50 THEN 'dev' ELSE 'held-out' END AS split FROM i")
+def split_dev_heldout(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select(F.concat(F.lit("q-"), F.col("doc_id").cast("string")).alias("query_id"))
+    return harness.split(ids, 50, 42)
+
+
+_ASKED = """qs AS (SELECT item_id AS query_id, CASE item_id % 6 WHEN 0 THEN 'What is the PHONE number of ' WHEN 1 THEN 'Which email has ' WHEN 2 THEN 'Give the month and year of ' WHEN 3 THEN 'What specific number is ' WHEN 4 THEN 'List the exact steps for ' ELSE 'Tell me about ' END || text AS question,
+CASE item_id % 4 WHEN 0 THEN 'call 555-1234-99 in May 2021 or a@b' WHEN 1 THEN 'click the button' WHEN 2 THEN '' ELSE text END AS evidence, CASE WHEN item_id % 5 = 0 THEN [] ELSE ['s:' || item_id] END AS truth FROM benchmark)"""
+
+
+@query(f"""WITH {_ASKED}, f AS (SELECT *, translate(question, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ql, translate(evidence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS e FROM qs),
+n AS (SELECT *, {' OR '.join(f"contains(ql, '{w}')" for w in harness.CONCRETE)} AS concrete,
+CASE WHEN contains(ql, 'phone number') OR contains(ql, 'contact phone') THEN len(regexp_extract_all(e, '[0-9]')) >= 7 WHEN contains(ql, 'email') OR contains(ql, 'e-mail') THEN contains(e, '@')
+WHEN contains(ql, 'month and year') THEN ({' OR '.join(f"contains(e, '{m}')" for m in harness.MONTHS)}) AND regexp_matches(e, '[12][0-9]{{3}}')
+WHEN contains(ql, 'numerical target') OR contains(ql, 'call volume') OR contains(ql, 'specific number') OR contains(ql, 'specific grit') THEN regexp_matches(e, '[0-9]')
+WHEN contains(ql, 'exact steps') OR contains(ql, 'field names') OR contains(ql, 'button clicks') THEN {' + '.join(f"contains(e, '{w}')::INT" for w in harness.STEPS)} >= 2 ELSE true END AS typed FROM f)
+SELECT query_id, concrete, typed, CASE WHEN concrete AND (len(truth) = 0 OR NOT typed) THEN 'insufficient-evidence' ELSE 'kept' END AS first, CASE WHEN concrete AND (len(truth) = 0 OR NOT typed) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS abstention,
+CASE WHEN len(truth) > 0 THEN 'evidence' ELSE 'session' END AS granularity FROM n""")
+def abstention(spark, sf_dir):
+    """Questions of each kind of answer, with evidence that has it or not."""
+    i = F.col("item_id")
+    asked = F.element_at(F.array(*map(F.lit, ("What is the PHONE number of ", "Which email has ", "Give the month and year of ", "What specific number is ", "List the exact steps for ", "Tell me about "))), (i % 6 + 1).cast("int"))
+    evidence = F.when(i % 4 == 0, "call 555-1234-99 in May 2021 or a@b").when(i % 4 == 1, "click the button").when(i % 4 == 2, "").otherwise(F.col("text"))
+    truth = F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("s:"), i.cast("string"))))
+    rows = table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.concat(asked, "text").alias("question"), evidence.alias("evidence"), truth.alias("truth"))
+    q, e, t = F.col("question"), F.col("evidence"), F.col("truth")
+    given = harness.overridden(F.array(F.lit("kept")), harness.abstains(q, t, e))
+    return rows.select("query_id", harness.needs_concrete_answer(q).alias("concrete"), harness.answers_type(q, e).alias("typed"), F.get(given, F.lit(0)).alias("first"), harness.abstention_score(given).alias("abstention"), harness.granularity(t).alias("granularity"))
+
+
+@query("""WITH t AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN ['e1'] WHEN 1 THEN ['d1'] WHEN 2 THEN ['s1'] ELSE [] END AS truth, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 's1' END AS s, CASE WHEN item_id % 5 = 0 THEN NULL ELSE 'd1' END AS d, CASE WHEN item_id % 7 = 0 THEN NULL ELSE 'e1' END AS e FROM benchmark)
+SELECT item_id AS query_id, CASE WHEN list_contains(truth, e) THEN e WHEN list_contains(truth, d) THEN d ELSE coalesce(s, d, e, item_id::VARCHAR) END AS parent FROM t""")
+def parent_ids(spark, sf_dir):
+    i = F.col("item_id")
+    truth = F.when(i % 4 == 0, F.array(F.lit("e1"))).when(i % 4 == 1, F.array(F.lit("d1"))).when(i % 4 == 2, F.array(F.lit("s1"))).otherwise(F.array().cast("array<string>"))
+    kinds = [F.when(i % n != 0, k) for n, k in ((7, "e1"), (5, "d1"), (3, "s1"))]
+    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), harness.parent_id(truth, *kinds, i).alias("parent"))
+
+
+@query(f"""WITH {_BOTH}, p AS (SELECT query_id, mt.mrr - ot.mrr AS diff FROM mt JOIN ot USING (query_id)) SELECT round(avg(diff), 6) AS delta, count_if(diff > 0)::BIGINT AS wins, count_if(diff = 0)::BIGINT AS ties, count_if(diff < 0)::BIGINT AS losses, lo, hi, p FROM p,
+(WITH p2 AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS pos, count(*) OVER () AS n, diff FROM p), s AS (SELECT round, round(avg(diff), 6) AS delta FROM (SELECT round, (('0x' || substr(md5(round || ':' || slot), 1, 8))::BIGINT % n) AS pos FROM (SELECT unnest(range(0, 200)) AS round), (SELECT pos AS slot, n FROM p2)) JOIN p2 USING (pos) GROUP BY 1)
+SELECT list_sort(list(delta))[6] AS lo, list_sort(list(delta))[196] AS hi, round(2 * least(count_if(delta <= 0) / 200.0::DOUBLE, 1 - count_if(delta <= 0) / 200.0::DOUBLE), 6) AS p FROM s) GROUP BY lo, hi, p""")
+def paired_bootstrap(spark, sf_dir):
+    """BM25 against overlap, by the reciprocal rank of each query."""
+    c, b = _metrics(spark, sf_dir), _metrics(spark, sf_dir, evaluation.overlap_scores)
+    pairs = c.select("query_id", "mrr").join(b.select("query_id", F.col("mrr").alias("other")), "query_id").select("query_id", (F.col("mrr") - F.col("other")).alias("diff"))
+    return evaluation.bootstrap_verdict(evaluation.positioned(pairs))
 
 
 # ---- store, views, usage
@@ -368,10 +586,39 @@ def wal_replay(spark, sf_dir):
     return store.live(_ops(spark, sf_dir))
 
 
-@query(f"WITH {_OPS} SELECT seq, capsule_id, tenant_id FROM ops o WHERE op = 'insert' AND NOT EXISTS (SELECT 1 FROM ops d WHERE d.op = 'delete' AND d.capsule_id = o.capsule_id AND d.tenant_id = o.tenant_id AND d.seq % 2 = 0)")
+@query(f"WITH {_OPS.replace('user_id AS capsule_id, user_id % 7', 'event_id % 4000 AS capsule_id, event_id % 4000 % 7')} SELECT seq, capsule_id, tenant_id FROM ops o WHERE op = 'insert' AND NOT EXISTS (SELECT 1 FROM ops d WHERE d.op = 'delete' AND d.capsule_id = o.capsule_id AND d.tenant_id = o.tenant_id)")
 def tombstone_anti(spark, sf_dir):
-    ops = _ops(spark, sf_dir)
-    return store.without_tombstones(ops.filter("op = 'insert'"), ops.filter("op = 'delete' AND seq % 2 = 0")).select("seq", "capsule_id", "tenant_id")
+    """Rows of keys that were never deleted, over a log with few operations a key."""
+    key = F.col("seq") % 4000
+    ops = _ops(spark, sf_dir).withColumns({"capsule_id": key, "tenant_id": key % 7})
+    return store.without_tombstones(ops.filter("op = 'insert'"), ops.filter("op = 'delete'")).select("seq", "capsule_id", "tenant_id")
+
+
+@query(f"""WITH {_OPS}, r AS (SELECT *, seq // 1024 AS run FROM ops), base AS (SELECT * FROM r WHERE run < 3), delta AS (SELECT * FROM r WHERE run >= 3),
+b AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY tenant_id, capsule_id ORDER BY seq DESC) = 1), d AS (SELECT * FROM delta QUALIFY row_number() OVER (PARTITION BY tenant_id, capsule_id ORDER BY seq DESC) = 1),
+w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY tenant_id, capsule_id ORDER BY seq DESC) = 1)
+SELECT 'minor' AS step, count(*) AS rows, count(CASE WHEN op = 'delete' THEN 1 END) AS tombstones, sum(seq)::BIGINT AS seq_sum FROM d UNION ALL SELECT 'full', count(*), 0, sum(seq)::BIGINT FROM w WHERE op = 'insert' UNION ALL
+SELECT 'view after minor', count(*), 0, sum(seq)::BIGINT FROM (SELECT * FROM (SELECT * FROM b WHERE op = 'insert' UNION ALL SELECT * FROM d) QUALIFY row_number() OVER (PARTITION BY tenant_id, capsule_id ORDER BY seq DESC) = 1) WHERE op = 'insert'""")
+def compaction(spark, sf_dir):
+    """A base of three runs under later runs: the runs merged, everything merged, and the view over base and merged runs."""
+    ops = _ops(spark, sf_dir).withColumn("run", F.floor(F.col("seq") / 1024))
+    base, delta = store.merged(ops.filter("run < 3"), whole=True), store.merged(ops.filter("run >= 3"), whole=False)
+    parts = {"minor": delta, "full": store.merged(ops, whole=True), "view after minor": store.merged(base.unionByName(delta), whole=True)}
+    rows = [f.agg(F.count("*").alias("rows"), F.count_if(F.col("op") == "delete").alias("tombstones"), F.sum("seq").alias("seq_sum")).select(F.lit(k).alias("step"), "*") for k, f in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(f"""WITH {_CAPS}, h AS (SELECT tenant_id, capsule_id, sha256(concat_ws(chr(10), claim, CASE WHEN capsule_id % 97 = 5 THEN evidence || '!' ELSE evidence END)) AS now, sha256(concat_ws(chr(10), claim, evidence)) AS content_hash FROM caps UNION ALL SELECT tenant_id, capsule_id, '', '' FROM caps WHERE capsule_id % 101 = 7),
+e AS (SELECT tenant_id, CASE WHEN "from" % 5 = 1 THEN "from" + 1000000 ELSE "from" END AS f FROM edges)
+SELECT tenant_id, capsule_id, 'content hash' AS problem FROM h WHERE now <> content_hash UNION ALL SELECT tenant_id, capsule_id, 'repeated id' FROM h GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT tenant_id, f, 'edge source' FROM e WHERE f > 1000000""")
+def integrity_check(spark, sf_dir):
+    """Records of which some evidence has changed since it was hashed, some ids repeat, and some edges start at no record."""
+    r = _records(spark, sf_dir).withColumn("content_hash", records.content_hash())
+    i = F.col("capsule_id")
+    again = r.filter(i % 101 == 7)
+    hurt = r.withColumn("evidence", F.when(i % 97 == 5, F.concat("evidence", F.lit("!"))).otherwise(F.col("evidence"))).unionByName(again)
+    e = _edges(spark, sf_dir).withColumn("from", F.when(F.col("from") % 5 == 1, F.col("from") + 1000000).otherwise(F.col("from")))
+    return records.integrity(hurt, e)
 
 
 @query(f"WITH {_OPS} SELECT seq // 1024 AS tier, count(*) AS rows, count_if(op = 'insert')::BIGINT AS inserts, count_if(op = 'delete')::BIGINT AS deletes FROM ops GROUP BY 1")
@@ -387,46 +634,81 @@ def conversation_views(spark, sf_dir):
     return views.five_views(table(spark, sf_dir, "conversations"))
 
 
-_LOG = "log AS (SELECT event_id AS seq, user_id AS tenant_id, CASE event_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'insert' ELSE 'delete' END AS op, value AS ms, epoch(ts) AS at FROM events)"
+_SAID = "CASE turn % 7 WHEN 0 THEN 'Please remember that ' WHEN 1 THEN 'So we decided to ' WHEN 2 THEN 'I always ' WHEN 3 THEN 'My team is ' WHEN 4 THEN 'the deadline is ' ELSE '' END || replace(substr(coalesce(text, ''), 1, 60), chr(10), ' ')"
+_FITS = [(k, t, "(?i)" + p) for k, t, p in views.RULES]
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, role, {_SAID} AS s FROM conversations), x AS (SELECT *, {', '.join(f"regexp_extract(s, '{p}', 1) AS r{k}" for k, (_, _, p) in enumerate(_FITS))} FROM u),
+k AS (SELECT *, CASE {' '.join(f"WHEN r{k} <> '' THEN '{n}'" for k, (n, _, _) in enumerate(_FITS))} END AS kind, CASE {' '.join(f"WHEN r{k} <> '' THEN {t}" for k, (_, t, _) in enumerate(_FITS))} END AS trust, coalesce({', '.join(f"nullif(r{k}, '')" for k in range(len(_FITS)))}) AS raw FROM x),
+c AS (SELECT *, trim(regexp_replace(rtrim(trim(raw, E' \\t\\r\\f'), '.!,;'), '\\s+', ' ', 'g')) AS claim0 FROM k WHERE kind IS NOT NULL),
+n AS (SELECT *, regexp_replace(claim0, '^(?i)(i|my|our|we)\\b', role || ' (' || lower(regexp_extract(claim0, '^(?i)(i|my|our|we)\\b', 1)) || ')') AS claim FROM c)
+SELECT conv_id, turn AS line, role AS speaker, kind, trust::INT AS trust, claim FROM n QUALIFY row_number() OVER (PARTITION BY conv_id, lower(claim) ORDER BY turn, role) = 1""")
+def extract_rules(spark, sf_dir):
+    """Memories from conversations whose turns begin like things to remember."""
+    t = F.col("turn") % 7
+    begins = F.when(t == 0, "Please remember that ").when(t == 1, "So we decided to ").when(t == 2, "I always ").when(t == 3, "My team is ").when(t == 4, "the deadline is ").otherwise("")
+    said = F.concat(begins, F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 60), "\n", " "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line"), F.col("role").alias("speaker"), said.alias("utterance"))
+    return views.extract(rows, "conv_id").drop("evidence")
+
+
+_LOG = "log AS (SELECT event_id AS seq, user_id AS tenant_id, CASE event_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'insert' ELSE 'delete' END AS op, value AS ms, event_id % 9 AS returned, epoch(ts) AS at FROM events)"
 
 
 def _log(spark, sf_dir):
     op = F.element_at(F.array(F.lit("query"), F.lit("insert"), F.lit("delete")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tenant_id"), op.alias("op"), F.col("value").alias("ms"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("at", F.col("us") / F.lit(1e6))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tenant_id"), op.alias("op"), F.col("value").alias("ms"), (F.col("event_id") % 9).alias("returned"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("at", F.col("us") / F.lit(1e6))
 
 
-@query(f"WITH {_LOG} SELECT tenant_id::VARCHAR AS tenant, count_if(op = 'query')::BIGINT AS queries, count_if(op = 'insert')::BIGINT AS inserts, count_if(op = 'delete')::BIGINT AS deletes FROM log GROUP BY tenant_id")
+@query(f"WITH {_LOG} SELECT tenant_id::VARCHAR AS tenant, count_if(op = 'query')::BIGINT AS queries, sum(CASE WHEN op = 'query' THEN returned ELSE 0 END)::BIGINT AS returned, count_if(op = 'insert')::BIGINT AS inserts, count_if(op = 'delete')::BIGINT AS deletes FROM log GROUP BY tenant_id")
 def tenant_usage(spark, sf_dir):
     return usage.tenant_usage(_log(spark, sf_dir))
 
 
-@query(f"WITH {_LOG}, b AS (SELECT unnest([0.5, 1, 2.5, 5, 10, 25, 50, 100, 250, 500, 1000])::DOUBLE AS le, unnest(['0.5', '1', '2.5', '5', '10', '25', '50', '100', '250', '500', '1000']) AS name) SELECT name AS le, count_if(ms <= b.le)::BIGINT AS n FROM log, b WHERE ms IS NOT NULL GROUP BY 1 UNION ALL SELECT '+Inf', count(ms) FROM log")
+@query(f"WITH {_LOG}, b AS (SELECT unnest([{', '.join(repr(x) for x in usage.BOUNDS)}]) AS name) SELECT name AS le, count_if(ms <= 1000 * name::DOUBLE)::BIGINT AS n FROM log, b WHERE ms IS NOT NULL GROUP BY 1 UNION ALL SELECT '+Inf', count(ms) FROM log")
 def latency_histogram(spark, sf_dir):
     return usage.latency_histogram(_log(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS r, sha256(seq || '|' || tenant_id || '|' || op) AS body FROM log),
-c AS (SELECT tenant_id, seq, r, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS record_hash FROM n WHERE r = 1 UNION ALL
-SELECT n.tenant_id, n.seq, n.r, c.record_hash, sha256(c.record_hash || n.body) FROM c JOIN n ON n.tenant_id = c.tenant_id AND n.r = c.r + 1) SELECT tenant_id, seq, prev_hash, record_hash FROM c""")
+_CHAIN = f"""{_LOG}, n AS (SELECT *, seq // 1024 AS block, row_number() OVER (PARTITION BY tenant_id, seq // 1024 ORDER BY seq) AS r, sha256(seq || '|' || tenant_id || '|' || op) AS body FROM log),
+c AS (SELECT tenant_id, block, seq, r, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS record_hash FROM n WHERE r = 1 UNION ALL
+SELECT n.tenant_id, n.block, n.seq, n.r, c.record_hash, sha256(c.record_hash || n.body) FROM c JOIN n ON n.tenant_id = c.tenant_id AND n.block = c.block AND n.r = c.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT tenant_id, block, seq, prev_hash, record_hash FROM c")
 def audit_chain(spark, sf_dir):
     return usage.audit_chain(_log(spark, sf_dir))
 
 
-@query(f"WITH {_LOG} SELECT tenant_id, count(*) AS records, true AS valid FROM log GROUP BY tenant_id")
+@query(f"""WITH RECURSIVE {_CHAIN}, l AS (SELECT tenant_id, block, arg_max(record_hash, seq) AS body, row_number() OVER (PARTITION BY tenant_id ORDER BY block) AS k FROM c GROUP BY tenant_id, block),
+t AS (SELECT tenant_id, block, k, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS record_hash FROM l WHERE k = 1 UNION ALL SELECT l.tenant_id, l.block, l.k, t.record_hash, sha256(t.record_hash || l.body) FROM t JOIN l ON l.tenant_id = t.tenant_id AND l.k = t.k + 1)
+SELECT tenant_id, block, prev_hash, record_hash FROM t""")
+def audit_heads(spark, sf_dir):
+    return usage.audit_heads(usage.audit_append(usage.audit_chain(_log(spark, sf_dir).filter("seq < 3000")), _log(spark, sf_dir).filter("seq >= 3000")))
+
+
+@query(f"WITH {_LOG} SELECT tenant_id, seq // 1024 AS block, count(*) AS records, count_if(seq % 501 = 7 AND op <> 'query') = 0 AS valid FROM log GROUP BY ALL")
 def audit_verify(spark, sf_dir):
+    """The chain against a log in which every 501st record has been made a query."""
     log = _log(spark, sf_dir)
-    return usage.audit_verify(usage.audit_chain(log), log)
+    forged = log.withColumn("op", F.when(F.col("seq") % 501 == 7, "query").otherwise(F.col("op")))
+    return usage.audit_verify(usage.audit_chain(log), forged)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT tenant_id, seq, "at" AS t, row_number() OVER (PARTITION BY tenant_id ORDER BY "at", seq) AS r FROM log),
+w AS (SELECT tenant_id, seq, t, r, 3.0::DOUBLE AS tokens FROM n WHERE r = 1 UNION ALL SELECT n.tenant_id, n.seq, n.t, n.r, least(3.0::DOUBLE, (CASE WHEN w.tokens >= 1 THEN w.tokens - 1 ELSE w.tokens END) + (n.t - w.t) * 0.0001::DOUBLE) FROM w JOIN n ON n.tenant_id = w.tenant_id AND n.r = w.r + 1)
+SELECT tenant_id, count(*) AS requests, count_if(tokens >= 1)::BIGINT AS allowed, sum(CASE WHEN tokens >= 1 THEN seq ELSE 0 END)::BIGINT AS seq_sum FROM w GROUP BY 1""")
 def rate_limit(spark, sf_dir):
-    return usage.rate_limit(_log(spark, sf_dir), rate=0.001, burst=3.0)
-
-
-@query(f"""WITH {_EVAL}, p AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS pos, count(*) OVER () AS n, mrr - recall_1 AS diff FROM mt),
-draw AS (SELECT round, (('0x' || substr(md5(round || ':' || slot), 1, 8))::BIGINT % n) AS pos FROM (SELECT unnest(range(0, 200)) AS round), (SELECT pos AS slot, n FROM p)) SELECT round::INT AS round, round(avg(diff), 6) AS delta FROM draw JOIN p USING (pos) GROUP BY 1""")
-def paired_bootstrap(spark, sf_dir):
-    m = _metrics(spark, sf_dir)
-    n = m.agg(F.count("*").cast("int").alias("n"))  # one row
-    paired = m.withColumn("pos", F.row_number().over(Window.orderBy("query_id")) - 1).crossJoin(F.broadcast(n)).select("pos", "n", (F.col("mrr") - F.col("recall_1")).alias("diff"))
-    return evaluation.paired_bootstrap(paired)
+    got = usage.rate_limit(_log(spark, sf_dir), rate=0.0001, burst=3.0)
+    return got.groupBy("tenant_id").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"), F.sum(F.when(F.col("allowed"), F.col("seq")).otherwise(0)).alias("seq_sum"))
+
+
+@query("""WITH i AS (SELECT doc_id, '0x' || lpad(printf('%x', doc_id * 7919), 20, 'f') AS m, printf('%x', doc_id * 7919) AS x FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id * 1000003 ELSE ('0x' || right(m, 16))::UBIGINT::VARCHAR::HUGEINT END::VARCHAR AS lo FROM i""")
+def mask_parse(spark, sf_dir):
+    """The low half of masks in both notations, as an unsigned number."""
+    i = F.col("doc_id")
+    written = F.when(i % 2 == 0, (i * 1000003).cast("string")).otherwise(F.concat(F.lit(" 0x"), F.lpad(F.lower(F.hex(i * 7919)), 20, "f")))
+    lo = records.parse_mask(written)["lo"]
+    unsigned = F.when(lo < 0, lo.cast("decimal(38,0)") + F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(lo.cast("decimal(38,0)"))
+    return table(spark, sf_dir, "documents").select("doc_id", unsigned.cast("string").alias("lo"))
