@@ -95,7 +95,7 @@ _PARENT = """parent AS (SELECT * EXCLUDE (score), round(score + 0.03::DOUBLE * (
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.records(table(spark, sf_dir, "documents"))
+    return corpus.records(corpus.documents(spark, sf_dir))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +123,12 @@ _PER = "SELECT probe_id, count(*) AS rows, sum(capsule_id)::BIGINT AS id_sum FRO
 
 @query(f"SELECT doc_id, {_terms('text')} AS terms FROM documents")
 def tokenize_terms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.extract_terms(F.col("text")).alias("terms"))
+    return corpus.documents(spark, sf_dir).select("doc_id", text.extract_terms(F.col("text")).alias("terms"))
 
 
 @query(f"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9-]+'), lambda t: length(t) >= 3))) AS terms FROM documents")
 def harness_terms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.harness_terms(F.col("text")).alias("terms"))
+    return corpus.documents(spark, sf_dir).select("doc_id", text.harness_terms(F.col("text")).alias("terms"))
 
 
 @query(f"WITH {_CAPS} SELECT capsule_id, {_features('anchors')} AS features FROM caps")
@@ -148,7 +148,7 @@ def residual_vector(spark, sf_dir):
 
 @query("SELECT doc_id, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::INT AS tokens FROM documents")
 def token_estimates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return corpus.documents(spark, sf_dir).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {_CAPS} SELECT capsule_id, tenant_id, claim, evidence, context_mask, policy_mask, trust_level, poison_risk, valid_from, valid_until, anchors, entities, sha256(concat_ws(chr(10), claim, evidence)) AS content_hash FROM caps")
@@ -395,12 +395,12 @@ _MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in evaluation.MEANS) + ",
 
 def _eval(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.extract_terms(F.col("text")).alias("terms"))
-    return q, table(spark, sf_dir, "documents").select("doc_id", text.extract_terms(F.col("text")).alias("terms"))
+    return q, corpus.documents(spark, sf_dir).select("doc_id", text.extract_terms(F.col("text")).alias("terms"))
 
 
 def _truth(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return evaluation.containing(table(spark, sf_dir, "documents"), b)
+    return evaluation.containing(corpus.documents(spark, sf_dir), b)
 
 
 def _metrics(spark, sf_dir, scores=evaluation.bm25_scores):

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, on every core: a small table in fewer files than cores, such as one row group, is dealt out first."""
+    path = f"{sf_dir}/documents.parquet"
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores and size < cores << 27 else rows
+
+
 def records(docs: DataFrame) -> DataFrame:
     """Memory records of documents: the whole text is the evidence, its first line the claim, whose terms are the entities."""
     i = F.col("doc_id")
