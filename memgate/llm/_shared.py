@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -93,6 +94,14 @@ def text_slices(batches, size: int = 1 << 21, more: int = 0):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
             yield batch.column(0).slice(at, to - at).to_pylist(), texts.slice(at, to - at).to_pylist(), *(batch.column(2 + k).slice(at, to - at) for k in range(more))
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and an executor's share is small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 # ---- hashing of words and word windows, vectorised over a batch of texts

@@ -130,7 +130,8 @@ def bloom_filter(rows: DataFrame, n: int = 0) -> np.ndarray:
 
 
 def tile_of(keys: np.ndarray, tiles: int) -> np.ndarray:
-    return ((keys >> U(32)) * U(tiles) >> U(32)).astype(np.int32)
+    """Ranges of the mixed hash, as prefixes hold the smallest hashes of their sets."""
+    return ((mix(keys) >> U(32)) * U(tiles) >> U(32)).astype(np.int32)
 
 
 def dealt(tile: np.ndarray, keys: np.ndarray, *columns: np.ndarray):

@@ -28,7 +28,7 @@ MARK = "▁"
 SEGMENT = re.compile(" *[^ ]+| +$")
 BYTE_SCORE = -1e12
 #: Segments of up to LONG characters are cached, CACHE of them per worker.
-CACHE, LONG = 300_000, 48
+CACHE, LONG = 150_000, 48
 
 
 def vocabulary(model: str = MODEL) -> dict:

@@ -78,8 +78,8 @@ def weight_of(groups: DataFrame, prior: Column) -> Column:
 
 
 def reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """host, rate, low for every host of hosts. outcomes: host, n, x (labelled pages, blocked ones) by host."""
-    every = hosts.join(outcomes, "host", "left").na.fill(0, ["n", "x"]).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    """host, rate, low for every host of hosts and outcomes. outcomes: host, n, x (labelled pages, blocked ones) by host."""
+    every = hosts.join(outcomes, "host", "full").na.fill(0, ["n", "x"]).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     rate = outcomes.agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.0))).first()[0]
     every = materialize(every)
     own = materialize(every.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))

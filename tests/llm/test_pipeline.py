@@ -88,3 +88,19 @@ def test_secrets_and_tokens(spark, stages):
 def test_run_is_its_stages(spark, stages):
     digest = lambda rows: sorted((r["doc_id"], r["n_chars"], hashlib.sha256(repr(list(r["token_ids"])).encode()).hexdigest()) for r in rows)
     assert digest(r.asDict() for r in corpus_pipeline.run(spark, SF).collect()) == digest(stages[5])
+
+
+ODD = [(1, None), (2, ""), (2, ""), (3, "short text"), (None, " ".join(f"w{i}" for i in range(60))), (4, " ".join(f"w{i}" for i in range(60))), (5, " ".join(f"v{i}" for i in range(60))), (5, " ".join(f"u{i}" for i in range(60))), (6, " ".join(f"t{i}" for i in range(30000))), (7, "z" * 40000 + " " + " ".join(f"s{i}" for i in range(40)))]
+
+
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_odd_rows_go_through_every_stage(spark, rows):
+    """Nulls, empty and very long texts, ids that repeat, and columns with the names that the stages use themselves."""
+    docs = spark.createDataFrame([(i, t, "en", None if i == 4 else "s", 1, 7, 7, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, host int, token_ids int")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = corpus_pipeline.materialize(stage(spark, docs, SF))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == docs.columns
+        docs = after
+    got = sorted((r.doc_id or -1) for r in docs.collect())
+    assert got == ([4, 5, 5, 6, 7] if rows else [])
