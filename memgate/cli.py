@@ -1,4 +1,4 @@
-"""python -m memgate.cli: compile, query, inspect and validate segments, and evaluate benchmark files."""
+"""python -m memgate.cli: compile, query, inspect and validate segments, evaluate benchmark files, and compare runs."""
 
 from __future__ import annotations
 
@@ -72,10 +72,51 @@ def evaluate(spark, a) -> None:
     print(harness.markdown(evaluation.summary(rows, "category").orderBy("category"), f"{a.benchmark}: overlap"))
 
 
+def runs_of(spark, a) -> list[DataFrame]:
+    return [records.read_run(spark, p) for p in a.runs]
+
+
+def compare(spark, a) -> None:
+    """Means of each run, and of each category of it."""
+    for path, run in zip(a.runs, runs_of(spark, a)):
+        means = [F.round(F.avg(f"recall_{k}"), 4).alias(f"recall_{k}") for k in evaluation.RECALLS]
+        print(harness.markdown(run.groupBy("category").agg(F.count("*").alias("n"), *means).orderBy("category"), path))
+
+
+def prove(spark, a) -> None:
+    candidate, baseline = runs_of(spark, a)
+    print(json.dumps(harness.proof(candidate, baseline).first().asDict()))
+
+
+def diagnose(spark, a) -> None:
+    """Missed ids of each query, and how many queries miss some."""
+    for run in runs_of(spark, a):
+        missed = run.select("query_id", F.array_except("truth", "returned").alias("missed")).filter(F.size("missed") > 0)
+        print(json.dumps({"queries": run.count(), "with misses": missed.count()}))
+        for row in missed.orderBy("query_id").toLocalIterator():
+            print(records.dumps(row))
+
+
+def safety(spark, a) -> None:
+    for run in runs_of(spark, a):
+        print(json.dumps({"violations": run.agg(F.sum("violations")).first()[0] or 0}))
+
+
+def fuse(spark, a) -> None:
+    """Runs fused by reciprocal ranks; the first decides which queries there are."""
+    lists = [r.select("query_id", F.posexplode("returned").alias("pos", "item")).withColumn("rank", F.col("pos") + 1) for r in runs_of(spark, a)]
+    for row in retrieve.fused_runs(*lists).orderBy("query_id", F.desc("rrf"), "item").toLocalIterator():
+        print(records.dumps(row))
+
+
+def split(spark, a) -> None:
+    records.write_split(harness.split(runs_of(spark, a)[0].select("query_id"), a.dev, a.seed), a.out)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser("memgate")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, run in (("compile", compile_), ("query", query), ("inspect", inspect), ("validate", validate), ("eval", evaluate)):
+    for name, run in (("compile", compile_), ("query", query), ("inspect", inspect), ("validate", validate), ("eval", evaluate), ("compare", compare), ("prove", prove), ("diagnose", diagnose), ("safety", safety), ("fuse", fuse), ("split", split)):
         p = sub.add_parser(name)
         p.set_defaults(run=run)
         if name == "compile":
@@ -88,6 +129,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             p.add_argument("--categories", nargs="*", default=[])
             p.add_argument("--limit", type=int)
             p.add_argument("--k", type=int, default=10)
+        elif name in ("compare", "prove", "diagnose", "safety", "fuse", "split"):
+            if name == "split":
+                p.add_argument("out")
+                p.add_argument("--dev", type=int, default=50)
+                p.add_argument("--seed", type=int, default=42)
+            p.add_argument("runs", nargs=2 if name == "prove" else "+")
         else:
             if name == "query":
                 p.add_argument("requests")

@@ -235,3 +235,50 @@ def audit_export(chain: DataFrame, path: str) -> None:
 
 def dumps(row) -> str:
     return json.dumps(row.asDict(recursive=True), sort_keys=True)
+
+
+def write_indexes(records: DataFrame, path: str) -> None:
+    """The derived tables of a segment beside it: postings of terms, and bands of fingerprints where records have them."""
+    root = path.rstrip("/")
+    terms = records.select("tenant_id", "capsule_id", F.explode(F.array_union("anchors", "entities")).alias("term"))
+    terms.sortWithinPartitions("term", "capsule_id").write.mode("overwrite").partitionBy("tenant_id").parquet(root + ".terms")
+    if "fp" in records.columns:
+        records.select("tenant_id", "capsule_id", F.posexplode("fp").alias("band", "key")).write.mode("overwrite").partitionBy("tenant_id").parquet(root + ".bands")
+
+
+def compile_products(products: DataFrame, folder: str, epoch: int, at: int) -> DataFrame:
+    """Product conversations to one segment for each view; returns the views' manifests with their paths."""
+    from memgate.operators import views
+
+    turns = products.select(F.col("memory_id").alias("conv_id"), "tenant_id", F.explode("turns").alias("t")).select("conv_id", "tenant_id", F.col("t.turn_id").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    tenants = turns.select("conv_id", "tenant_id").distinct()
+    every = views.five_views(turns).join(tenants, "conv_id")
+    out = []
+    for view in ("session", "user-turn", "assistant-turn", "turn", "native-capsule"):
+        own = views.view_records(every.filter(F.col("view") == view), F.col("tenant_id"), F.lit(at).cast("long"))
+        out.append(write_segment(own, f"{folder.rstrip('/')}/{view}", epoch).withColumns({"view": F.lit(view), "path": F.lit(f"{folder.rstrip('/')}/{view}")}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def frozen_problems(frozen: dict, now: dict) -> list[str]:
+    """Settings of a run that differ from the frozen ones."""
+    return sorted(k for k in frozen.keys() | now.keys() if frozen.get(k) != now.get(k))
+
+
+def embed(rows: DataFrame, model, column: str = "text") -> DataFrame:
+    """rows with `embedding` by a model (a list of texts to a list of vectors), asked for a batch at a time."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in model([t or "" for t in texts])])
+
+    return rows.withColumn("embedding", vectors(F.col(column)))
+
+
+def seeded_words(seed: int, n: int, vocabulary: int = 5000) -> list[str]:
+    """n invented words by a linear congruential generator that wraps at 64 bits."""
+    out, x = [], seed
+    for _ in range(n):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append(f"w{(x >> 33) % vocabulary}")
+    return out

@@ -119,3 +119,58 @@ def test_json_round_trip_and_products(spark, tmp_path):
     got = sorted((r.line, r.memory_id, r._corrupt) for r in source.read_products(spark, f"file://{tmp_path}/p.jsonl").collect())
     assert got == [(1, "m", None), (3, None, "not json")]
     assert source.synthetic(spark, 260).filter("embargoed").count() == 20
+
+
+def test_runs_on_the_command_line(spark, tmp_path, capsys):
+    row = {"benchmark": "b", "mode": "m", "category": "c", "recall_1": 1.0, "recall_5": 1.0, "recall_10": 1.0, "build_ns": 5, "violations": 0, "config_hash": "x", "dataset_hash": "y", "split_hash": "z", "truth": ["a"]}
+    for name, ns in (("fast", 10), ("slow", 20)):
+        (tmp_path / name).write_text("\n".join(json.dumps(row | {"query_id": f"q{k}", "returned": ["a", "b"] if k else ["b"], "retrieval_ns": ns}) for k in range(3)))
+    fast, slow = str(tmp_path / "fast"), str(tmp_path / "slow")
+    ask = lambda *argv: (cli.main([*argv], spark), capsys.readouterr().out)[1]
+    assert "| c | 3 | 1.0000" in ask("compare", fast)
+    proof = json.loads(ask("prove", fast, slow))
+    assert (proof["accuracy_parity"], proof["latency_lead"], proof["safety"], proof["same_identity"], proof["speedup_p50"]) == ("PASS", "PASS", "PASS", "PASS", round(25 / 15, 6))
+    assert json.loads(ask("prove", slow, fast))["latency_lead"] == "FAIL"
+    out = ask("diagnose", fast).splitlines()
+    assert json.loads(out[0]) == {"queries": 3, "with misses": 1} and json.loads(out[1]) == {"missed": ["a"], "query_id": "q0"}
+    assert json.loads(ask("safety", fast)) == {"violations": 0}
+    fused = [json.loads(x) for x in ask("fuse", fast, slow).splitlines()]
+    assert [(r["query_id"], r["item"]) for r in fused] == [("q0", "b"), ("q1", "a"), ("q1", "b"), ("q2", "a"), ("q2", "b")] and fused[0]["rrf"] == round(2 / 61, 9)
+    ask("split", str(tmp_path / "split"), fast, "--dev", "2")
+    got = source.read_split(spark, str(tmp_path / "split"))
+    assert sorted(r["count"] for r in got.groupBy("split").count().collect()) == [1, 2] and harness.of_split(source.read_run(spark, fast), got, "dev").count() == 2
+
+
+def test_service_routes(spark, tmp_path):
+    from memgate.service import Service, principal_of_token, signed
+
+    s = Service(spark, f"file://{tmp_path}/svc", "w1:write:1,r2:read:2,a1:admin:1", b"key")
+    assert s.handle("GET", "/healthz") == (200, {"status": "ok"})
+    status, made = s.handle("POST", "/v1/memories", {"memories": [{"claim": "backups are kept thirty days"}]}, "w1")
+    assert status == 201
+    ask = {"query": "how long are backups kept"}
+    assert [c["capsule_id"] for c in s.handle("POST", "/v1/query", ask, signed({"tenant": 1}, b"key"))[1]["capsules"]] == made["ids"]
+    assert s.handle("POST", "/v1/query", ask, "r2")[1]["capsules"] == []
+    assert s.handle("POST", "/v1/memories", {"memories": []}, "r2")[0] == 403 == s.handle("GET", "/v1/usage", None, "w1")[0] == s.handle("GET", "/v1/usage", None, "none")[0]
+    assert s.handle("POST", "/v1/query", {}, "r2")[0] == 400 and s.handle("GET", "/v1/nothing", None, "a1")[0] == 404
+    assert s.handle("GET", "/v1/usage", None, "a1")[1] == [{"tenant": "1", "queries": 1, "returned": 1, "inserts": 1, "deletes": 0}]
+    assert s.handle("GET", "/v1/audit/verify", None, "a1") == (200, {"valid": True})
+    assert 'operations_total{op="query"} 2' in s.handle("GET", "/metrics", None, "a1")[1]
+    assert s.handle("DELETE", f"/v1/memories/{made['ids'][0]}", None, "w1")[0] == 204
+    assert s.handle("POST", "/v1/admin/compact", None, "a1")[0] == 200 and s.handle("POST", "/v1/query", ask, "w1")[1]["capsules"] == []
+    for bad in (signed({"tenant": 1}, b"other"), signed({"tenant": 1, "exp": 5}, b"key"), "a.b.c"):
+        with pytest.raises(PermissionError):
+            principal_of_token(bad, b"key", now=10)
+
+
+def test_products_indexes_and_embeddings(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text(json.dumps({"memory_id": "m", "tenant_id": 1, "turns": [{"turn_id": 1, "role": "user", "text": "hello there"}, {"turn_id": 2, "role": "assistant", "text": "yes"}]}))
+    made = source.compile_products(source.read_products(spark, f"file://{tmp_path}/p.jsonl"), f"file://{tmp_path}/out", 1, 100)
+    assert {r["view"]: r.capsule_count for r in made.collect()} == {"session": 1, "user-turn": 1, "assistant-turn": 1, "turn": 2, "native-capsule": 2}
+    assert {r.claim for r in source.open_segment(spark, f"file://{tmp_path}/out/turn").collect()} == {"hello there", "yes"}
+    r = spark.createDataFrame([(1, 5, ["aa", "bb"], ["bb", "cc"])], "tenant_id long, capsule_id long, anchors array<string>, entities array<string>")
+    source.write_indexes(r, f"file://{tmp_path}/seg")
+    assert sorted(x.term for x in spark.read.parquet(f"{tmp_path}/seg.terms").collect()) == ["aa", "bb", "cc"]
+    got = source.embed(spark.createDataFrame([("ab",), (None,)], "text string"), lambda texts: [[len(t), 1] for t in texts]).collect()
+    assert [x.embedding for x in got] == [[2.0, 1.0], [0.0, 1.0]]
+    assert source.seeded_words(3, 5) == source.seeded_words(3, 5) and source.frozen_problems({"a": 1}, {"a": 1, "b": 2}) == ["b"]
