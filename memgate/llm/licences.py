@@ -150,8 +150,8 @@ def scan_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])"
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # plain substrings first: they cost a tenth of the pattern, and let through all that it does
-    held = own.withColumn("low", F.lower("text")).filter(reduce(Column.__or__, [F.contains("low", F.lit(w)) for w in words])) if words else own.filter("false")
-    own = held.select("doc_id", "text")
+    found = let(F.lower("text"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words], F.lit(False)))
+    own = own.filter(found)
     # a unit must share a bigram with some template at all
     every = F.array(*(F.lit(g) for g in sorted({g for _, own in shapes for g in own})))
     whole = scored(units(own, least, most, anchor).filter(F.arrays_overlap("grams", every)), shapes, threshold).select("doc_id", "unit", "licence", "dice")

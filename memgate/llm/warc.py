@@ -76,7 +76,7 @@ def tree(records: DataFrame) -> list[DataFrame]:
         kids = F.array_sort(F.collect_list(F.struct("start", "stop", "digest")))
         at = F.get(kids, F.lit(0))["start"]
         ranges = F.transform(kids, lambda c: F.concat_ws(":", c["digest"], (c["start"] - at).cast("string"), (c["stop"] - at).cast("string")))
-        node = materialize(node.groupBy(key.alias("key")).agg(F.sha2(F.array_join(ranges, ","), 256).alias("digest"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("path").alias("path")))
+        node = materialize(node.groupBy(key.alias("key")).agg(F.sha2(F.array_join(ranges, ","), 256).alias("digest"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("path").alias("path")), few=True)
         out.append(node)
     return out
 
@@ -103,7 +103,7 @@ def differing(a: list[DataFrame], b: list[DataFrame]) -> tuple[DataFrame, DataFr
             if k < len(other):
                 same = other[k].select("key", F.col("digest").alias("there"))
                 nodes = nodes.join(same, (nodes["key"] == same["key"]) & (nodes["digest"] == same["there"]), "left_anti")
-            sides.append(materialize(nodes.select("key")))
+            sides.append(materialize(nodes.select("key"), few=True))
         wrong = sides
     return wrong[0], wrong[1]
 
@@ -121,10 +121,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     every = every.withColumns({"ordinal": F.col("ordinal") + F.col("copy"), "start": F.col("start") + F.col("length") * F.col("copy")})
     if found is None:
         return every.select("id", "ordinal", "start", "length", "digest", F.lit("same").alias("state"))
-    mine, theirs = (materialize(x) for x in found)
+    mine, theirs = (materialize(x, few=True) for x in found)
+    discard(*a, *b)
     gone, new = excess(mine, theirs), excess(theirs, mine)
     turn = Window.partitionBy("id").orderBy("digest", "copy")
-    gone, new = (materialize(x.withColumn("n", F.row_number().over(turn))) for x in (gone, new))
+    gone, new = (materialize(x.withColumn("n", F.row_number().over(turn)), few=True) for x in (gone, new))
     null_safe = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["n"] == y["n"])
     changed = gone.join(new.select("id", "n"), null_safe(gone, new), "left_semi")
     state = materialize(gone.join(changed.select(F.col("digest").alias("d"), F.col("copy").alias("c"), F.lit("changed").alias("is")), (F.col("digest") == F.col("d")) & (F.col("copy") == F.col("c")), "left").select("digest", "copy", F.coalesce("is", F.lit("lost")).alias("state")))
