@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memgate.llm._shared import materialize
 from memgate.llm.quality_rules import let
 
 #: Notices by licence.
@@ -84,11 +85,25 @@ def anchors(shapes, threshold: float) -> list[str]:
     return sorted(words)
 
 
-def units(docs: DataFrame, least: float, most: float, anchor: str) -> DataFrame:
+class Anchor:
+    """Tests for texts that have one of some words: plain substrings, which let through all that the pattern does, and then the pattern."""
+
+    def __init__(self, words: list[str]):
+        self.parts = [w for w in words if not any(v != w and v in w for v in words)]
+        self.pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])"
+
+    def maybe(self, text: Column) -> Column:
+        return let(F.lower(text), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in self.parts], F.lit(False)))
+
+    def holds(self, text: Column) -> Column:
+        return self.maybe(text) & F.rlike(text, F.lit(self.pattern))
+
+
+def units(docs: DataFrame, least: float, most: float, anchor: Anchor) -> DataFrame:
     """doc_id and bigrams of the lines and paragraphs of several lines whose size can fit some template."""
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09\r]*\n"), lambda s: F.contains(F.trim(s), F.lit("\n")))
     # n distinct bigrams take more than n words, so more than 2n characters
-    own = F.filter(F.transform(F.concat(F.split("text", "\n"), paragraphs), lambda s, i: F.struct((i + 1).alias("unit"), s.alias("s"))), lambda x: (F.length(x["s"]) > 2 * least) & F.rlike(x["s"], F.lit(anchor)))
+    own = F.filter(F.transform(F.concat(F.split("text", "\n"), paragraphs), lambda s, i: F.struct((i + 1).alias("unit"), s.alias("s"))), lambda x: (F.length(x["s"]) > 2 * least) & anchor.holds(x["s"]))
     rows = docs.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.unit", words_of(F.col("x.s")).alias("words"))
     rows = rows.filter(F.size("words") > least).select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
     return rows.filter((F.size("grams") >= least) & (F.size("grams") <= most))
@@ -107,12 +122,12 @@ def scored(rows: DataFrame, shapes, threshold: float) -> DataFrame:
     return best.withColumns({"licence": F.col("b.licence"), "dice": -F.col("b.d")}).drop("b", "grams")
 
 
-def runs(docs: DataFrame, shapes, threshold: float, most: float, every: Column, anchor: str) -> DataFrame:
+def runs(docs: DataFrame, shapes, threshold: float, most: float, every: Column, anchor: Anchor) -> DataFrame:
     """doc_id, unit (from 1 in each row), licence and dice of runs of sentences inside a paragraph.
 
     No run is left out that could be best: without the first sentence a run is as good if no template bigram starts there,
     and without the last one if no template bigram comes there for the first time."""
-    parts = F.filter(F.split("text", r"\n[\x20\x09\r]*\n"), lambda s: F.rlike(s, F.lit(anchor)))
+    parts = F.filter(F.split("text", r"\n[\x20\x09\r]*\n"), lambda s: anchor.holds(s))
     rows = docs.select("doc_id", F.posexplode(parts).alias("unit", "s")).select("doc_id", (F.col("unit") + 1).alias("unit"), "s", F.monotonically_increasing_id().alias("part"))
     sentences = lambda s: F.flatten(F.transform(F.split(s, "\n"), lambda line, k: F.transform(F.split(line, r"(?<=[.!?:;])[\x20\x09\r]+"), lambda x: F.struct(k.alias("line"), words_of(x).alias("w")))))
     rows = rows.select("doc_id", "unit", "part", F.filter(sentences(F.col("s")), lambda x: F.size(x["w"]) > 0).alias("own")).filter(F.size("own") > 1)
@@ -147,11 +162,9 @@ def scan_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shapes = [(name, template_bigrams(text)) for name, text in templates]
     bounds = [size_bounds(len(g), threshold) for _, g in shapes]
     least, most, words = min(b[0] for b in bounds), max(b[1] for b in bounds), anchors(shapes, threshold)
-    anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])"
+    anchor = Anchor(words)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # plain substrings first: they cost a tenth of the pattern, and let through all that it does
-    found = let(F.lower("text"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words], F.lit(False)))
-    own = own.filter(found)
+    own = materialize(own.filter(anchor.maybe(F.col("text"))))  # read twice; of most corpora a small part
     # a unit must share a bigram with some template at all
     every = F.array(*(F.lit(g) for g in sorted({g for _, own in shapes for g in own})))
     whole = scored(units(own, least, most, anchor).filter(F.arrays_overlap("grams", every)), shapes, threshold).select("doc_id", "unit", "licence", "dice")
