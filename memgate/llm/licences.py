@@ -85,6 +85,11 @@ def anchors(shapes, threshold: float) -> list[str]:
     return sorted(words)
 
 
+def once(value: Column) -> Column:
+    """A generated column of one value: filters on it are not moved before it, where they would work it out anew for each mention."""
+    return F.explode(F.array(value))
+
+
 class Anchor:
     """Tests for texts that have one of some words: plain substrings, which let through all that the pattern does, and then the pattern."""
 
@@ -104,8 +109,8 @@ def units(docs: DataFrame, least: float, most: float, anchor: Anchor) -> DataFra
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09\r]*\n"), lambda s: F.contains(F.trim(s), F.lit("\n")))
     # n distinct bigrams take more than n words, so more than 2n characters
     own = F.filter(F.transform(F.concat(F.split("text", "\n"), paragraphs), lambda s, i: F.struct((i + 1).alias("unit"), s.alias("s"))), lambda x: (F.length(x["s"]) > 2 * least) & anchor.holds(x["s"]))
-    rows = docs.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.unit", words_of(F.col("x.s")).alias("words"))
-    rows = rows.filter(F.size("words") > least).select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
+    rows = docs.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.unit", once(words_of(F.col("x.s"))).alias("words"))
+    rows = rows.filter(F.size("words") > least).select("doc_id", "unit", once(bigrams(F.col("words"))).alias("grams"))
     return rows.filter((F.size("grams") >= least) & (F.size("grams") <= most))
 
 
@@ -118,7 +123,7 @@ def scored(rows: DataFrame, shapes, threshold: float) -> DataFrame:
         both = F.size(F.array_intersect("grams", F.array(*(F.lit(g) for g in own))))
         dice = F.when((n >= lo) & (n <= hi), 2.0 * both / (n + len(own))).otherwise(F.lit(0.0))
         scores.append(F.struct((-dice).alias("d"), F.lit(name).alias("licence")))
-    best = rows.withColumn("b", F.array_min(F.array(*scores))).filter(F.col("b.d") <= -threshold)
+    best = rows.select("*", once(F.array_min(F.array(*scores))).alias("b")).filter(F.col("b.d") <= -threshold)
     return best.withColumns({"licence": F.col("b.licence"), "dice": -F.col("b.d")}).drop("b", "grams")
 
 
