@@ -21,3 +21,13 @@ def test_terms_fold_ascii_alone(spark):
     rows = [("Abc ABC abc. -ÉTÉ-xyz aKey İabc ab :A/b@C:",), (None,), ("",)]
     got = spark.createDataFrame(rows, "t string").select(text.extract_terms(F.col("t")).alias("t")).collect()
     assert [r.t for r in got] == [["a/b@c", "abc", "akey", "xyz"], None, []]
+
+
+def test_index_path_reads_records_once(spark, monkeypatch):
+    """Terms and fingerprints are made once, and of common terms only gated pairs move."""
+    made = []
+    keep = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df: made.append(df.columns) or keep(df))
+    rows = catalog.ann_recall(spark, SF)
+    assert "sha2" not in rows._jdf.queryExecution().optimizedPlan().toString() and "evidence" not in made[0]
+    assert all(r.found <= r.exact for r in rows.collect())
