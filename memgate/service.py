@@ -88,7 +88,7 @@ class Service:
             if (method, path) == ("GET", "/v1/usage"):
                 return 200, [r.asDict() for r in usage.tenant_usage(own).collect()]  # one row
             if (method, path) == ("GET", "/v1/audit/verify"):
-                bad = usage.audit_verify(usage.audit_chain(own), own).filter(~F.col("valid")).count()
+                bad = usage.audit_verify(usage.audit_chain(own), own, usage.BLOCK).filter(~F.col("valid")).count()
                 return 200, {"valid": bad == 0}
             if (method, path) == ("GET", "/v1/admin/stats"):
                 return 200, [r.asDict() for r in memory.stats().collect()]  # three rows
